@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and coordinates per band: a pair at similarity 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
-#: Different centres that the buckets of one large group spread over.
-CENTRES = 4
+#: In buckets of up to so many documents, unconnected ones are paired directly.
+SMALL = 32
 _STEP, _SALT, _MASK = 0x9E3779B97F4A7C15, np.uint64(0xA0761D6478BD642F), (1 << 64) - 1
 
 
@@ -153,24 +154,76 @@ def _verify(similarity: float, n: int):
     return run
 
 
+def posts(u: bytes, centre: bytes, seed: int, similarity: float, n: int) -> list[tuple[int, int]]:
+    """The (token, role) under which a document meets others of its centre that it may be similar to.
+
+    With t the similarity, a link of u and v needs |u & v| >= t / (1 + t) * (|u| + |v|). Either they
+    share shingles outside the centre c: then, as |u & v & c| <= |u & c|, at least that less |u & c| of
+    them, so it is enough to compare prefixes of what each has outside c, in hash order. Or they share
+    none outside, so both |u & c| and |v & c| reach the bound; if u is no link of c, that needs
+    |v| < |c|, and u meets v by v's size. Role 1 seeks, role 0 is only found: links of c need not seek
+    each other, since c connects them.
+    """
+    own, mid = shingle_set(u, n), shingle_set(centre, n)
+    inside = own & mid
+    seeks = int(len(inside) < similarity * (len(own) + len(mid) - len(inside)))
+    mark = lambda x: xxhash.xxh64_intdigest(b"\0".join(x), seed) - (1 << 63)
+    outside = sorted(mark(x) for x in own - inside)
+    need = math.ceil(similarity * len(own) - 1e-9) - len(inside)
+    out = [(x, seeks) for x in outside[: len(outside) - max(1, need) + 1]]
+    by_size = lambda k: mark((b"size", str(k).encode()))
+    if len(own) < len(mid) and len(inside) >= similarity * len(own) - 1e-9:
+        out.append((by_size(len(own)), 0))
+    if seeks:
+        share = similarity / (1 + similarity)
+        for k in range(math.ceil(similarity * len(own) - 1e-9), min(len(mid), math.floor(len(own) / similarity + 1e-9) + 1)):
+            if len(inside) < share * (len(own) + k) - 1e-9:
+                break
+            out.append((by_size(k), 1))
+    return out
+
+
+def _post(similarity: float, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, label = (batch.column(c).to_pylist() for c in ("u", "v", "label"))
+            found = [(token, u[i], label[i], role) for i in range(len(u)) for token, role in posts(raw(batch.column("text_u")[i]), raw(batch.column("text_v")[i]), v[i] & _MASK, similarity, n)]
+            cols = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["token", "u", "label", "role"])
+
+    return run
+
+
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).filter(F.col(c).isNotNull())
+    return pairs.join(text("u"), "u").join(text("v"), "v").select(*pairs.columns, "text_u", "text_v")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, n: int) -> DataFrame:
     """Of the pairs (u, v) of doc_ids, those whose texts are similar enough by exact shingle sets."""
-    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).filter(F.col(c).isNotNull())
-    both = pairs.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_verify(similarity, n), "u long, v long").distinct()
+    return _texts(pairs.select("u", "v"), docs).mapInArrow(_verify(similarity, n), "u long, v long").distinct()
 
 
-def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, weighted: bool = False) -> DataFrame:
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, weighted: bool = False, small: int = SMALL) -> DataFrame:
     """(doc_id, nid, class_id) for every row of ``docs`` (doc_id long, text); nid is a hash of its words.
 
     A class is a connected component of the documents under exact Jaccard similarity of their word
-    n-grams of at least ``similarity``; class_id is its smallest doc_id.
-    Steps: texts with equal words collapse to one representative (so copies are never paired); its band
-    keys are dealt out; in each bucket all members are paired with one centre, chosen by hash so that
-    large groups get several, and verified on the texts; components are formed; then, in buckets that
-    still hold several components, the members outside the largest one are paired with all of the other
-    components and verified too. So every pair that shares a band is either verified or already in
-    one component, without emitting the pairs of a group.
+    n-grams of at least ``similarity``; class_id is its smallest doc_id. Steps:
+
+    - texts with equal words collapse to one representative, so copies are never paired;
+    - its band keys are dealt out, and in each bucket all members are paired with one centre, the member
+      that meets most others over all buckets, verified on the texts, and connected;
+    - in buckets that still hold several components, up to ``small`` members, those outside the largest
+      component are paired with the others;
+    - in larger ones, members meet by what they have besides the centre (:func:`posts`), which loses no
+      link and makes few pairs however large the bucket is.
+
+    So every similar pair that shares a band is verified or already connected, and no step emits the
+    pairs of a group.
 
     Null texts count as empty, and all texts without words are copies of each other. A text of fewer than
     n words is one shingle. Repeated rows are copies. Rows without a doc_id are matched as copies only; a
@@ -186,28 +239,33 @@ def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY
     buckets = (
         signed.filter("bands IS NOT NULL AND doc_id IS NOT NULL")
         .join(reps.withColumnRenamed("nid", "rep_nid"), (F.col("nid") == F.col("rep_nid")) & (F.col("doc_id") == F.col("rep")))
-        .select(F.col("rep").alias("node"), F.posexplode("bands").alias("band", "key"))
+        .select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
     )
-    order = F.xxhash64("node", F.col("band") % CENTRES)
-    multi = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("centre"))).alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", F.col("m.centre").alias("centre"))
-    members = scratch.write(buckets.select("key", "node").join(multi, "key").distinct(), "members")
-    stars = members.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node", "centre").groupBy("a", "b").agg(F.min(F.struct("node", "centre")).alias("e")).select(F.col("e.node").alias("u"), F.col("e.centre").alias("v"))
-    stars = scratch.write(stars, "stars")
+    multi = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "size")
+    met = scratch.write(buckets.join(multi, "key"), "met")
+    fame = met.groupBy("node").agg(F.sum("size").alias("fame"))
+    centres = met.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
+    members = scratch.write(met.join(centres, "key").distinct(), "members")
+    scratch.drop("met")
+    stars = scratch.write(members.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
     links = scratch.write(verified(stars, slim, similarity, n), "links")
     labels = connected_components(links, scratch, "cc1")
 
-    tagged = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = tagged.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("key", "lead")
     mixed = scratch.write(tagged.join(split, "key"), "mixed")
-    minor = mixed.filter("label <> lead").select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
-    rest = minor.join(mixed.select("key", F.col("node").alias("v"), F.col("label").alias("lv")), "key").filter("lu <> lv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    tried = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = scratch.write(rest.join(tried, ["u", "v"], "left_anti"), "rest")
+    few = mixed.filter(F.col("size") <= small)
+    minor = few.filter("label <> lead").select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
+    near = minor.join(few.select("key", F.col("node").alias("v"), F.col("label").alias("lv")), "key").filter("lu <> lv").select("u", "v")
+    many = mixed.filter(F.col("size") > small).select(F.col("node").alias("u"), F.col("centre").alias("v"), "label").distinct()
+    post = scratch.write(_texts(many, slim).mapInArrow(_post(similarity, n), "token long, u long, label long, role int").distinct(), "posts")
+    seek = post.filter("role = 1").select("token", "u", F.col("label").alias("lu")).distinct()
+    far = seek.join(post.select("token", F.col("u").alias("v"), F.col("label").alias("lv")).distinct(), "token").filter("lu <> lv").select("u", "v")
+    rest = scratch.write(ordered(near.unionByName(far)).join(ordered(stars), ["u", "v"], "left_anti"), "rest")
     more = scratch.write(verified(rest, slim, similarity, n), "more")
     if more.limit(1).count():
-        joined = links.unionByName(more)
-        labels = connected_components(joined, scratch, "cc2")
-    scratch.drop("members", "stars", "mixed", "rest")
+        labels = connected_components(links.unionByName(more), scratch, "cc2")
+    scratch.drop("members", "stars", "mixed", "posts", "rest")
 
     class_of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("nid", F.coalesce("label", "rep").alias("class_id"))
     return signed.select("doc_id", "nid").join(class_of, "nid", "left").select("doc_id", "nid", "class_id")
