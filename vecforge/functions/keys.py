@@ -76,7 +76,7 @@ def partition_hash(key: Column, parts: int, kind: str = "fowler_noll_vo") -> Col
 
 
 def mask_bit(pos: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), F.pmod(pos, F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(pos, F.lit(64)).cast("int"))
 
 
 def mask_word(pos: Column) -> Column:
