@@ -45,7 +45,7 @@ def clean(url: str | None) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str) -> bytes:
     """A response, or with refers_to a revisit that holds the headers only."""
     rid = lambda p: uuid.uuid5(_SPACE, f"page:{p}")
-    own = uuid.uuid5(_SPACE, f"row:{place}:{page_id}")
+    own = rid(page_id) if refers_to is None and page_id is not None else uuid.uuid5(_SPACE, f"row:{place}:{page_id}")
     headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{own}>"), ("WARC-Date", _EPOCH), ("WARC-Target-URI", clean(url)), ("X-Page-Id", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", label(payload))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
