@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup_stage), ("secret scans", secrets), ("mixing", mix), ("packing", pack)]
 
-#: The models and the packing order are beyond SQL; the tests hold the pipeline to a brute-force version.
+#: The models and the packing order are beyond SQL; the tests hold each operator to a brute-force version.
 ORACLE_SQL = None
 
 
