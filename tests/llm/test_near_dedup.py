@@ -75,6 +75,20 @@ def test_posts_lose_no_link():
                     assert seek
 
 
+def test_parities_bound_what_only_one_document_has(spark):
+    rng = random.Random(9)
+    grams = [(str(i).encode(),) for i in range(3000)]
+    for size in (0, 1, 40, 700, 2500):
+        a = set(rng.sample(grams, size))
+        b = a ^ set(rng.sample(grams, size // 9))
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(nd.parity(a), nd.parity(b), strict=True))
+        assert differ <= len(a ^ b) and differ % 2 == len(a ^ b) % 2
+    sets = [{(str(i).encode(),) for i in range(k, k + 100)} for k in (0, 11, 60)]
+    df = spark.createDataFrame([(0, 0, i, i, len(s), *nd.parity(s)) for i, s in enumerate(sets)], nd.POST)
+    got = df.alias("a").join(df.alias("b"), nd.may_be_similar("a", "b", 0.8)).filter("a.u < b.u").selectExpr("a.u", "b.u AS v").collect()
+    assert [tuple(r) for r in got] == [(0, 1)]
+
+
 def test_signatures_estimate_weighted_similarity():
     a = np.arange(300, dtype=np.uint64)
     element, row = np.concatenate([a, a]), np.repeat([0, 1], 300)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecforge.llm.common import Scratch, Vocabulary, mix64, normalised, pieces, prepare, raw
@@ -28,6 +28,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: In buckets of up to so many documents, unconnected ones are paired directly.
 SMALL = 32
+#: 64-bit words of a document's parity, by which most pairs that meet are told apart before any text is read.
+PARITY = 8
+POST = ["token", "role", "u", "label", "size", *(f"p{k}" for k in range(PARITY))]
 _STEP, _SALT, _MASK = 0x9E3779B97F4A7C15, np.uint64(0xA0761D6478BD642F), (1 << 64) - 1
 
 
@@ -183,13 +186,40 @@ def posts(u: bytes, centre: bytes, seed: int, similarity: float, n: int) -> list
     return out
 
 
+def parity(own: set) -> list[int]:
+    """PARITY words of 64 bits; a bit is the parity of the number of shingles that hash to it.
+
+    A shingle of both documents changes the same bit in both, so the bits in which two documents differ
+    are no more than the shingles that only one of them has, whatever collides.
+    """
+    h = np.fromiter((xxhash.xxh64_intdigest(b"\0".join(x)) for x in own), np.uint64, len(own))
+    odd = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and parities leave it open that two posts' documents are similar; loses no link.
+
+    At similarity t or more, at most (1 - t) / (1 + t) of |u| + |v| are in one document only.
+    """
+    size = lambda f: f(F.col(f"{a}.size"), F.col(f"{b}.size"))
+    differ = sum((F.bit_count(F.col(f"{a}.p{k}").bitwiseXOR(F.col(f"{b}.p{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    alone = (1 - similarity) / (1 + similarity) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+    return (size(F.least) >= similarity * size(F.greatest) - 1e-9) & (differ <= alone + 1e-9)
+
+
 def _post(similarity: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, label = (batch.column(c).to_pylist() for c in ("u", "v", "label"))
-            found = [(token, u[i], label[i], role) for i in range(len(u)) for token, role in posts(raw(batch.column("text_u")[i]), raw(batch.column("text_v")[i]), v[i] & _MASK, similarity, n)]
-            cols = zip(*found, strict=True) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["token", "u", "label", "role"])
+            found = []
+            for i in range(len(u)):
+                text = raw(batch.column("text_u")[i])
+                own = shingle_set(text, n)
+                about = (u[i], label[i], len(own), *parity(own))
+                found += [(token, role, *about) for token, role in posts(text, raw(batch.column("text_v")[i]), v[i] & _MASK, similarity, n)]
+            cols = zip(*found, strict=True) if found else [[]] * len(POST)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], POST)
 
     return run
 
@@ -219,8 +249,9 @@ def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY
       that meets most others over all buckets, verified on the texts, and connected;
     - in buckets that still hold several components, up to ``small`` members, those outside the largest
       component are paired with the others;
-    - in larger ones, members meet by what they have besides the centre (:func:`posts`), which loses no
-      link and makes few pairs however large the bucket is.
+    - in larger ones, members meet by what they have besides the centre (:func:`posts`), and of those
+      that meet, the join lets pass those whose parities are near enough (:func:`may_be_similar`);
+      neither loses a link.
 
     So every similar pair that shares a band is verified or already connected, and no step emits the
     pairs of a group.
@@ -258,9 +289,10 @@ def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY
     minor = few.filter("label <> lead").select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
     near = minor.join(few.select("key", F.col("node").alias("v"), F.col("label").alias("lv")), "key").filter("lu <> lv").select("u", "v")
     many = mixed.filter(F.col("size") > small).select(F.col("node").alias("u"), F.col("centre").alias("v"), "label").distinct()
-    post = scratch.write(_texts(many, slim).mapInArrow(_post(similarity, n), "token long, u long, label long, role int").distinct(), "posts")
-    seek = post.filter("role = 1").select("token", "u", F.col("label").alias("lu")).distinct()
-    far = seek.join(post.select("token", F.col("u").alias("v"), F.col("label").alias("lv")).distinct(), "token").filter("lu <> lv").select("u", "v")
+    post = scratch.write(_texts(many, slim).mapInArrow(_post(similarity, n), ", ".join(f"{c} long" for c in POST)).distinct(), "posts")
+    seek, found = post.filter("role = 1").drop("role").alias("a"), post.drop("role").distinct().alias("b")
+    meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & may_be_similar("a", "b", similarity)
+    far = seek.join(found, meets).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
     rest = scratch.write(ordered(near.unionByName(far)).join(ordered(stars), ["u", "v"], "left_anti"), "rest")
     more = scratch.write(verified(rest, slim, similarity, n), "more")
     if more.limit(1).count():
