@@ -164,8 +164,8 @@ def posts(u: bytes, centre: bytes, seed: int, similarity: float, n: int) -> list
     share shingles outside the centre c: then, as |u & v & c| <= |u & c|, at least that less |u & c| of
     them, so it is enough to compare prefixes of what each has outside c, in hash order. Or they share
     none outside, so both |u & c| and |v & c| reach the bound; if u is no link of c, that needs
-    |v| < |c|, and u meets v by v's size. Role 1 seeks, role 0 is only found: links of c need not seek
-    each other, since c connects them.
+    |v| < |c|, and u meets v by v's size, in steps of a sixteenth of |c|. Role 1 seeks, role 0 is only
+    found: links of c need not seek each other, since c connects them.
     """
     own, mid = shingle_set(u, n), shingle_set(centre, n)
     inside = own & mid
@@ -174,15 +174,16 @@ def posts(u: bytes, centre: bytes, seed: int, similarity: float, n: int) -> list
     outside = sorted(mark(x) for x in own - inside)
     need = math.ceil(similarity * len(own) - 1e-9) - len(inside)
     out = [(x, seeks) for x in outside[: len(outside) - max(1, need) + 1]]
-    by_size = lambda k: mark((b"size", str(k).encode()))
+    width = max(1, len(mid) // 16)
+    by_size = lambda k: mark((b"size", str(k // width).encode()))
     if len(own) < len(mid) and len(inside) >= similarity * len(own) - 1e-9:
         out.append((by_size(len(own)), 0))
     if seeks:
         share = similarity / (1 + similarity)
-        for k in range(math.ceil(similarity * len(own) - 1e-9), min(len(mid), math.floor(len(own) / similarity + 1e-9) + 1)):
-            if len(inside) < share * (len(own) + k) - 1e-9:
-                break
-            out.append((by_size(k), 1))
+        least = math.ceil(similarity * len(own) - 1e-9)
+        most = min(len(mid) - 1, math.floor(len(own) / similarity + 1e-9), math.floor((len(inside) + 1e-9) / share - len(own)))
+        if least <= most:
+            out += [(by_size(k * width), 1) for k in range(least // width, most // width + 1)]
     return out
 
 
