@@ -132,6 +132,26 @@ def test_packing_is_whole_and_tight(spark, capacity):
     assert packing.pack(df.limit(0), spark).count() == 0
 
 
+def test_packing_keeps_bins_of_many_groups_apart(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = packing.pack(df, spark, capacity=64, per_source=2, group_rows=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    by_bin = collections.defaultdict(list)
+    for r in rows:
+        by_bin[r["bin_id"]].append(r)
+    assert min(by_bin) >= 0 and max(by_bin) // packing.STRIDE > 256
+    for rs in by_bin.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 64
+        assert len({texts[r["doc_id"]] for r in rs}) == len(rs)
+        assert max(collections.Counter(r["source"] for r in rs).values()) <= 2
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = packing.Bins(10, 1)
     assert [bins.place(*x) for x in ((7, 0, 0), (6, 1, 1), (3, 2, 2), (3, 3, 1), (4, 0, 9), (4, 1, 8))] == [(0, 0), (1, 0), (0, 7), (2, 0), (1, 6), (2, 3)]

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, per_sou
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = pack_rows(rows, capacity, per_source)
-        out["bin_id"] = out["bin"] + key[0] * STRIDE
+        out["bin_id"] = out["bin"] + int(key[0]) * STRIDE  # the key is a 32-bit numpy integer, which would wrap
         out["start"] = out["piece"].astype("int64") * capacity
         return out[["bin_id", "offset", "doc_id", "piece", "start", "length", "source"]]
 
