@@ -180,3 +180,41 @@ def test_substring_dedup_matches_plain_python(spark):
             assert (r["n_removed"], r["removed"], r["text"]) == want[r["doc_id"]]
     assert any(n for n, _, _ in want.values())
     assert substring_dedup.substring_dedup(df.limit(0), spark).count() == 0
+
+
+def test_substring_dedup_finds_passages_inside_lines(spark):
+    rng = random.Random(6)
+    prose = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 300)) + rng.choice(["", "", "", ",", " -", "."]) for _ in range(n)]
+    inside, across, short = prose(60), prose(70), prose(60)
+    across[20] += "\n" + across[21] + " "
+    texts = []
+    for _ in range(3):
+        texts.append(" ".join([*prose(25), *inside, *prose(31)]))
+        texts.append(" ".join([*prose(rng.randint(9, 30)), *across, *prose(12)]).upper())
+        texts.append("\n".join([*[" ".join(prose(4)) for _ in range(3)], *[" ".join(short[i : i + 5]) for i in range(0, 60, 5)], " ".join(prose(20))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df, spark).collect()}
+    window = lambda text: {tuple(w[i : i + 50]) for w in [substring_dedup.normalise(text)] for i in range(len(w) - 49)}
+    for i, t in enumerate(texts):
+        assert any(window(t) & window(x) for j, x in enumerate(texts) if j != i)
+        assert not any(window(got[i]["text"]) & window(got[j]["text"]) for j in range(i))
+        assert got[i]["n_removed"] == 0 if i < 3 else got[i]["removed_chars"] > 0
+        at, left = 0, ""
+        for a, b in (map(int, x.split(":")) for x in got[i]["removed"].split(",") if x):
+            assert at <= a < b
+            left, at = left + t[at:a], b
+        assert got[i]["text"] == left + t[at:]
+
+
+def test_equal_lines_go_whole():
+    rng = random.Random(7)
+    line = " ".join(rng.choices([f"w{i}" for i in range(99)], k=200)) + " ...  - end"
+    text = f"one line before it that nothing else repeats here\n{line}\n{line}"
+    found = substring_dedup.units(text)
+    begin = text.index("\n") + 1
+    for number, at in ((0, begin), (1, begin + len(line) + 1)):
+        spans = [(a, b) for _, a, b, _ in found if at <= a < at + len(line) + 1]
+        assert spans[0][0] == at and spans[-1][1] == at + len(line) + 1 - number
+        assert len(spans) > 5 and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
+    half = (len(found) - 1) // 2
+    assert [x[3] for x in found[1 : 1 + half]] == [x[3] for x in found[1 + half :]]
