@@ -12,7 +12,7 @@ from vecforge.llm.common import Scratch
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.quality_rules(docs, labels).filter("kept").select(*docs.columns)
+    return quality_rules.quality_rules(docs, labels, whole=True).filter("kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

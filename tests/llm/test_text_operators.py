@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tempfile
 
 import pytest
 import xxhash
@@ -69,6 +70,21 @@ def test_quality_rules_match_plain_python(spark):
     assert quality_rules.fit(df, labels.limit(0)) == [0.0] * quality_rules.BUCKETS
 
 
+def test_quality_rules_read_whole_words(spark):
+    from vecforge.llm import queries
+
+    rng = random.Random(8)
+    words = [f"{a}{b}ing" for a in "bcdfghklmnprst" for b in "aeiou"]
+    good = [" ".join(rng.choices(words, k=60)) for _ in range(60)]
+    poor = [" ".join(rng.choice(["%%%", "***", "X!!"]) + w for w in rng.choices(words, k=60)) for _ in range(30)]
+    texts = good + poor
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in range(60, 70)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        kept = {r["doc_id"]: r["kept"] for r in queries.op8_quality_rules(spark, d).collect()}
+    assert [i for i in range(len(texts)) if kept[i]] == list(range(len(good)))
+
+
 def test_mix_targets_and_copies(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randint(0, 30)) for _ in range(3000)]
