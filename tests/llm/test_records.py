@@ -152,3 +152,11 @@ def test_ordinal_regression_held_out(spark):
     assert sum(a == b for a, b in held) >= 0.93 * len(held)
     assert got[None]["expected_grade"] == got[700]["expected_grade"]
     assert quality_classifier.classify(df.limit(0), model, spark).count() == 0
+
+
+def test_long_secrets_are_mixed_as_short_ones_are():
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (100, 200, 801, 1600, 5000):
+        value = "".join(rng.choices(alphabet, k=n))
+        assert "kind=mixed" in secret_scan.word_features(value.encode())[0]

@@ -66,7 +66,7 @@ def word_features(word: bytes) -> tuple[list[str], list[str]]:
         kind = "number"
     elif re.fullmatch(r"[0-9a-fA-F]+", core) and n >= 12:
         kind = "hex"
-    elif re.fullmatch(r"[A-Za-z0-9+/_.=-]+", core) and digits and len(runs) * 4 >= n:
+    elif re.fullmatch(r"[A-Za-z0-9+/_.=-]+", core) and digits and len(runs) * 4 >= min(n, 200):
         kind = "mixed"
     elif "=" in text[:-1] or ":" in text[:-1]:
         kind = "pair"
