@@ -160,3 +160,11 @@ def test_long_secrets_are_mixed_as_short_ones_are():
     for n in (100, 200, 801, 1600, 5000):
         value = "".join(rng.choices(alphabet, k=n))
         assert "kind=mixed" in secret_scan.word_features(value.encode())[0]
+
+
+def test_html_text_of_embedded_elements_becomes_leaves():
+    for tag in "math object textarea canvas svg noscript audio video".split():
+        found = [x.text for x in html_extract.leaves(f"<article><p>before <{tag}>inside</{tag}> after</p><p>next</p></article>")]
+        assert found == ["before inside after", "next"]
+        assert html_extract.leaves(f"<article><p>one <{tag}>two</p><p>three</p></article>")[-1].text == "three"
+    assert [x.text for x in html_extract.leaves("<p>a <script>b</script><style>c</style>d</p>")] == ["a d"]
