@@ -22,6 +22,8 @@ find_words = re.compile(WORD).findall
 #: Bounds of one Arrow batch handed to a Python worker.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
+#: A key is hot with more than a HOT_SHARE-th of the rows, and with HOT_ROWS at least.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,13 +34,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        try:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
-        except Exception:  # a Spark without the byte bound keeps the row bound
-            continue
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     return spark
 
 
+def hot_keys(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """(keys, times) of the keys with more than a HOT_SHARE-th of ``total`` rows: HOT_SHARE rows at most."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("times")).filter(F.col("times") > max(HOT_ROWS, total // HOT_SHARE))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with a ``right`` that is unique in ``keys``, where a few keys may have most of left's rows.
+
+    Those keys are at most HOT_SHARE, so what right has for them is broadcast and their rows stay where
+    they are; the others are shuffled. ``left`` should be a written table: it is read three times. Null
+    keys meet nothing.
+    """
+    hot = F.broadcast(hot_keys(left, keys, left.count()).select(*keys))
+    spread = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    return spread.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

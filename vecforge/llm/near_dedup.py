@@ -15,22 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import Scratch, Vocabulary, mix64, normalised, pieces, prepare, raw
+from vecforge.llm.common import HOT_SHARE, WORD, Scratch, Vocabulary, mix64, pieces, prepare, skew_join
 from vecforge.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands and coordinates per band: a pair at similarity 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
-#: In buckets of up to so many documents, unconnected ones are paired directly.
-SMALL = 32
+#: Pairs of one centre that a part of it takes, at least.
+PART_ROWS = 256
 #: 64-bit words of a document's parity, by which most pairs that meet are told apart before any text is read.
 PARITY = 8
-POST = ["token", "role", "u", "label", "size", *(f"p{k}" for k in range(PARITY))]
+POST = "u long, v long, posts array<struct<token: long, role: long>>, label long, size long, " + ", ".join(f"p{k} long" for k in range(PARITY))
+#: Roles of a post: found by others, seeks others, or a link of the centre.
+FOUND, SEEKS, LINKED = 0, 1, 2
 _STEP, _SALT, _MASK = 0x9E3779B97F4A7C15, np.uint64(0xA0761D6478BD642F), (1 << 64) - 1
 
 
@@ -119,14 +120,28 @@ def band_keys(texts: list[bytes], bands: int = BANDS, rows: int = ROWS, n: int =
     return out
 
 
-def shingle_set(text: bytes, n: int = SHINGLE) -> set:
-    words = text.split()
-    return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)}
+def cells(texts: list[bytes], n: int = SHINGLE, weighted: bool = False) -> list[np.ndarray]:
+    """Each text's set of n-grams as sorted distinct 64-bit numbers; weighted, the k-th of equal ones is another number.
 
+    So the Jaccard similarity of two such sets is that of the texts, weighted by counts if asked for.
+    """
+    element, weight, row = shingles(texts, n, weighted)
+    times = weight.astype(np.int64)
+    at = np.repeat(np.arange(len(element)), times)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    cell = mix64(element[at] + mix64(nth.astype(np.uint64) + np.uint64(1))).view(np.int64)
+    ends = np.cumsum(np.bincount(row[at], minlength=len(texts)))
+    return [np.sort(x) for x in np.split(cell, ends[:-1])]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's elements the sorted set b has."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
-def jaccard(a: set, b: set) -> float:
-    common = len(a & b)
-    return common / (len(a) + len(b) - common)
+
+def similar(a: int, b: int, common: int, similarity: float) -> bool:
+    """Whether sets of a and b elements with so many in common reach the similarity."""
+    return common >= similarity * (a + b - common) - 1e-9
 
 
 def _sign(bands: int, rows: int, n: int, weighted: bool):
@@ -140,61 +155,118 @@ def _sign(bands: int, rows: int, n: int, weighted: bool):
     return run
 
 
-def _verify(similarity: float, n: int):
+def _cells(n: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centre = None, set()
         for batch in batches:
-            u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+            for first, texts in pieces(batch.column("text")):
+                found = cells(texts, n, weighted)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([batch.column("nid").slice(first, len(texts)), lists], ["nid", "cells"])
+
+    return run
+
+
+def cell_sets(nodes: DataFrame, docs: DataFrame, n: int, weighted: bool) -> DataFrame:
+    """(nid, cells) of each of ``nodes`` (nid, rep), from the row of ``docs`` that bears both."""
+    key = lambda c: [F.col(c).isNull().alias("none"), F.coalesce(c, F.lit(0)).alias("id")]
+    texts = docs.select("nid", *key("doc_id"), "text").join(nodes.select("nid", *key("rep")), ["nid", "none", "id"], "left_semi")
+    return texts.dropDuplicates(["nid", "none", "id"]).select("nid", "text").mapInArrow(_cells(n, weighted), "nid long, cells array<long>")
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(v, part, kind, u, label, cells): in each partition a set v (kind 0) stands before its sets u (kind 1).
+
+    ``pairs`` (u, v, label) is a written table. A v with many pairs is dealt to several parts, each with
+    a copy of v's set, so it fills no task; v's set is not attached to each pair.
+    """
+    part_rows = max(PART_ROWS, pairs.count() // HOT_SHARE)
+    hot = pairs.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") > part_rows).select("v", F.ceil(F.col("c") / part_rows).alias("parts"))  # HOT_SHARE rows at most
+    dealt = pairs.join(F.broadcast(hot), "v", "left").select("u", "v", "label", F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")), F.lit(0)).alias("part"))
+    members = dealt.join(sets.withColumnRenamed("nid", "u"), "u").select("v", "part", F.lit(1).alias("kind"), "u", "label", "cells")
+    none = F.lit(None).cast("long")
+    centres = dealt.select("v", "part").distinct().join(sets.withColumnRenamed("nid", "v"), "v").select("v", "part", F.lit(0).alias("kind"), none.alias("u"), none.alias("label"), "cells")
+    return members.unionByName(centres).repartition("v", "part").sortWithinPartitions("v", "part", "kind")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
+    """For each batch of :func:`beside`, the row, v, set of u and set of v of each pair."""
+    v, centre = None, np.zeros(0, np.int64)
+    for batch in batches:
+        lists = batch.column("cells")
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()
+        found = []
+        for i, (node, kind) in enumerate(zip(batch.column("v").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+            own = values[ends[i] : ends[i + 1]]
+            if kind == 0:
+                v, centre = node, own.copy()
+            elif node == v:
+                found.append((i, v, own, centre))
+            else:
+                raise ValueError("a pair came without the set of its v")
+        yield batch, found
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _met(batches):
             keep = []
-            for i in range(len(u)):
-                if v[i] != last:
-                    last, centre = v[i], shingle_set(raw(batch.column("text_v")[i]), n)
-                own = shingle_set(raw(batch.column("text_u")[i]), n)
-                if min(len(own), len(centre)) >= similarity * max(len(own), len(centre)) and jaccard(own, centre) >= similarity:
+            for i, _, own, centre in found:
+                if min(len(own), len(centre)) >= similarity * max(len(own), len(centre)) - 1e-9 and similar(len(own), len(centre), int(overlap(own, centre).sum()), similarity):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("u", "v")], ["u", "v"])
 
     return run
 
 
-def posts(u: bytes, centre: bytes, seed: int, similarity: float, n: int) -> list[tuple[int, int]]:
-    """The (token, role) under which a document meets others of its centre that it may be similar to.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of texts, those whose sets are similar enough."""
+    rows = beside(pairs.select("u", "v", F.lit(None).cast("long").alias("label")), sets)
+    return rows.mapInArrow(_verify(similarity), "u long, v long")
+
+
+def posts(own: np.ndarray, centre: np.ndarray, seed: int, similarity: float) -> list[tuple[int, int]]:
+    """The (token, role) under which a text meets others of its centre that it may be similar to.
 
     With t the similarity, a link of u and v needs |u & v| >= t / (1 + t) * (|u| + |v|). Either they
     share shingles outside the centre c: then, as |u & v & c| <= |u & c|, at least that less |u & c| of
     them, so it is enough to compare prefixes of what each has outside c, in hash order. Or they share
     none outside, so both |u & c| and |v & c| reach the bound; if u is no link of c, that needs
     |v| < |c|, and u meets v by v's size, in steps of a sixteenth of |c|. Role 1 seeks, role 0 is only
-    found: links of c need not seek each other, since c connects them.
+    found: links of c need not seek each other, since c connects them; for each of them one row of
+    LINKED says so.
     """
-    own, mid = shingle_set(u, n), shingle_set(centre, n)
-    inside = own & mid
-    seeks = int(len(inside) < similarity * (len(own) + len(mid) - len(inside)))
-    mark = lambda x: xxhash.xxh64_intdigest(b"\0".join(x), seed) - (1 << 63)
-    outside = sorted(mark(x) for x in own - inside)
-    need = math.ceil(similarity * len(own) - 1e-9) - len(inside)
-    out = [(x, seeks) for x in outside[: len(outside) - max(1, need) + 1]]
-    width = max(1, len(mid) // 16)
-    by_size = lambda k: mark((b"size", str(k // width).encode()))
-    if len(own) < len(mid) and len(inside) >= similarity * len(own) - 1e-9:
+    mine = overlap(own, centre)
+    inside = int(mine.sum())
+    seeks = int(not similar(len(own), len(centre), inside, similarity))
+    salt = mix64(np.array([seed & _MASK], np.uint64) + _SALT)
+    mark = lambda x: mix64(x ^ salt).view(np.int64)
+    outside = np.sort(mark(own[~mine].view(np.uint64)))
+    need = math.ceil(similarity * len(own) - 1e-9) - inside
+    out = [(x, seeks) for x in outside[: max(0, len(outside) - max(1, need) + 1)].tolist()]
+    width = max(1, len(centre) // 16)
+    by_size = lambda k: int(mark(mix64(np.array([k // width], np.uint64) + np.uint64(1)))[0])
+    if len(own) < len(centre) and inside >= similarity * len(own) - 1e-9:
         out.append((by_size(len(own)), 0))
     if seeks:
         share = similarity / (1 + similarity)
         least = math.ceil(similarity * len(own) - 1e-9)
-        most = min(len(mid) - 1, math.floor(len(own) / similarity + 1e-9), math.floor((len(inside) + 1e-9) / share - len(own)))
+        most = min(len(centre) - 1, math.floor(len(own) / similarity + 1e-9), math.floor((inside + 1e-9) / share - len(own)))
         if least <= most:
             out += [(by_size(k * width), 1) for k in range(least // width, most // width + 1)]
+    else:
+        out.append((0, LINKED))
     return out
 
 
-def parity(own: set) -> list[int]:
+def parity(own: np.ndarray) -> list[int]:
     """PARITY words of 64 bits; a bit is the parity of the number of shingles that hash to it.
 
     A shingle of both documents changes the same bit in both, so the bits in which two documents differ
     are no more than the shingles that only one of them has, whatever collides.
     """
-    h = np.fromiter((xxhash.xxh64_intdigest(b"\0".join(x)) for x in own), np.uint64, len(own))
-    odd = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    odd = np.bincount((own.view(np.uint64) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -209,114 +281,125 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (size(F.least) >= similarity * size(F.greatest) - 1e-9) & (differ <= alone + 1e-9)
 
 
-def _post(similarity: float, n: int):
+def _post(similarity: float):
+    kinds = [pa.int64()] * 2 + [pa.list_(pa.struct([("token", pa.int64()), ("role", pa.int64())])), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v, label = (batch.column(c).to_pylist() for c in ("u", "v", "label"))
-            found = []
-            for i in range(len(u)):
-                text = raw(batch.column("text_u")[i])
-                own = shingle_set(text, n)
-                about = (u[i], label[i], len(own), *parity(own))
-                found += [(token, role, *about) for token, role in posts(text, raw(batch.column("text_v")[i]), v[i] & _MASK, similarity, n)]
-            cols = zip(*found, strict=True) if found else [[]] * len(POST)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], POST)
+        for batch, found in _met(batches):
+            label = batch.column("label").to_pylist()
+            u = batch.column("u").to_pylist()
+            rows = [(u[i], v, [{"token": t, "role": r} for t, r in posts(own, centre, v, similarity)], label[i], len(own), *parity(own)) for i, v, own, centre in found]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + PARITY)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds + [pa.int64()] * PARITY, strict=True)], ["u", "v", "posts", "label", "size", *(f"p{k}" for k in range(PARITY))])
 
     return run
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).filter(F.col(c).isNotNull())
-    return pairs.join(text("u"), "u").join(text("v"), "v").select(*pairs.columns, "text_u", "text_v")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Of the pairs (u, v) of doc_ids, those whose texts are similar enough by exact shingle sets."""
-    return _texts(pairs.select("u", "v"), docs).mapInArrow(_verify(similarity, n), "u long, v long").distinct()
-
-
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def classes(docs: DataFrame, spark: SparkSession, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, weighted: bool = False, small: int = SMALL) -> DataFrame:
-    """(doc_id, nid, class_id) for every row of ``docs`` (doc_id long, text); nid is a hash of its words.
+def text_id(text: Column) -> Column:
+    """A 64-bit hash of a text; 0 for all texts without words."""
+    return F.when(text.rlike(WORD), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
-    A class is a connected component of the documents under exact Jaccard similarity of their word
-    n-grams of at least ``similarity``; class_id is its smallest doc_id. Steps:
 
-    - texts with equal words collapse to one representative, so copies are never paired;
-    - its band keys are dealt out, and in each bucket all members are paired with one centre, the member
-      that meets most others over all buckets, verified on the texts, and connected;
-    - in buckets that still hold several components, up to ``small`` members, those outside the largest
-      component are paired with the others;
-    - in larger ones, members meet by what they have besides the centre (:func:`posts`), and of those
-      that meet, the join lets pass those whose parities are near enough (:func:`may_be_similar`);
-      neither loses a link.
+def texts(docs: DataFrame, spark: SparkSession, scratch: Scratch, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, nid) of every row of ``docs``, and (nid, rep, label) of every distinct text.
 
-    So every similar pair that shares a band is verified or already connected, and no step emits the
-    pairs of a group.
-
-    Null texts count as empty, and all texts without words are copies of each other. A text of fewer than
-    n words is one shingle. Repeated rows are copies. Rows without a doc_id are matched as copies only; a
-    class of only such rows has a null class_id. Other columns are ignored. An empty table gives an
-    empty one.
+    rep is the text's smallest doc_id, and label the smallest nid of its class, see :func:`near_duplicates`.
     """
     prepare(spark)
-    scratch = Scratch(spark, "near")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.write(slim.withColumn("nid", F.xxhash64(normalised(F.col("text")))).mapInArrow(_sign(bands, rows, n, weighted), "doc_id long, nid long, bands array<long>"), "signed")
-    reps = signed.groupBy("nid").agg(F.min("doc_id").alias("rep"))
-    # one row per class: the row of its representative (a repeated row has the same bands)
-    buckets = (
-        signed.filter("bands IS NOT NULL AND doc_id IS NOT NULL")
-        .join(reps.withColumnRenamed("nid", "rep_nid"), (F.col("nid") == F.col("rep_nid")) & (F.col("doc_id") == F.col("rep")))
-        .select(F.col("rep").alias("node"), F.explode("bands").alias("key"))
-    )
-    multi = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", "size")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("nid", text_id(F.col("text")))
+    signed = scratch.write(slim.select("doc_id", "nid", "text").mapInArrow(_sign(bands, rows, n, weighted), "doc_id long, nid long, bands array<long>"), "signed")
+    reps = scratch.write(signed.groupBy("nid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
+    buckets = reps.filter("bands IS NOT NULL").select(F.col("nid").alias("node"), F.explode("bands").alias("key"))
+    multi = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = scratch.write(buckets.join(multi, "key"), "met")
-    fame = met.groupBy("node").agg(F.sum("size").alias("fame"))
-    centres = met.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
-    members = scratch.write(met.join(centres, "key").distinct(), "members")
+    famed = met.join(met.groupBy("node").agg(F.sum("size").alias("fame")), "node")
+    centres = famed.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
+    members = scratch.write(famed.join(centres, "key"), "members")
     scratch.drop("met")
+    sets = scratch.write(cell_sets(members.select(F.col("node").alias("nid")).distinct().join(reps.select("nid", "rep"), "nid"), slim, n, weighted), "sets")
     stars = scratch.write(members.filter("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
-    links = scratch.write(verified(stars, slim, similarity, n), "links")
+    links = scratch.write(verified(stars, sets, similarity), "links")
     labels = connected_components(links, scratch, "cc1")
 
-    tagged = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = tagged.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1").select("key", "lead")
-    mixed = scratch.write(tagged.join(split, "key"), "mixed")
-    few = mixed.filter(F.col("size") <= small)
-    minor = few.filter("label <> lead").select("key", F.col("node").alias("u"), F.col("label").alias("lu"))
-    near = minor.join(few.select("key", F.col("node").alias("v"), F.col("label").alias("lv")), "key").filter("lu <> lv").select("u", "v")
-    many = mixed.filter(F.col("size") > small).select(F.col("node").alias("u"), F.col("centre").alias("v"), "label").distinct()
-    post = scratch.write(_texts(many, slim).mapInArrow(_post(similarity, n), ", ".join(f"{c} long" for c in POST)).distinct(), "posts")
-    seek, found = post.filter("role = 1").drop("role").alias("a"), post.drop("role").distinct().alias("b")
-    meets = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & may_be_similar("a", "b", similarity)
+    # buckets that still hold several components: all members meet by what they have besides one centre,
+    # the most met of the component that the bucket's own centre is in
+    tagged = scratch.write(members.filter("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    split = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    leads = tagged.groupBy("label").agg(F.max(F.struct("fame", "node")).alias("m")).select("label", F.col("m.node").alias("v"))
+    lead = tagged.filter("node = centre").select("key", "label").join(split, "key").join(leads, "label").select("key", "v")
+    many = scratch.write(tagged.join(lead, "key").filter("node <> v").select(F.col("node").alias("u"), "v", "label").distinct(), "many")
+    post = scratch.write(beside(many, sets).mapInArrow(_post(similarity), POST), "posts")
+    each = post.select("u", "label", "size", *(f"p{k}" for k in range(PARITY)), "v", F.explode("posts").alias("p")).withColumns({"token": F.col("p.token"), "role": F.col("p.role")}).drop("p")
+    seek, found = each.filter(f"role = {SEEKS}").alias("a"), each.filter(f"role <> {LINKED}").alias("b")
+    meets = (F.col("a.v") == F.col("b.v")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & may_be_similar("a", "b", similarity)
     far = seek.join(found, meets).select(F.col("a.u").alias("u"), F.col("b.u").alias("v"))
-    rest = scratch.write(ordered(near.unionByName(far)).join(ordered(stars), ["u", "v"], "left_anti"), "rest")
-    more = scratch.write(verified(rest, slim, similarity, n), "more")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more), scratch, "cc2")
-    scratch.drop("members", "stars", "mixed", "posts", "rest")
-
-    class_of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("nid", F.coalesce("label", "rep").alias("class_id"))
-    return signed.select("doc_id", "nid").join(class_of, "nid", "left").select("doc_id", "nid", "class_id")
+    rest = scratch.write(ordered(far).join(ordered(stars), ["u", "v"], "left_anti"), "rest")
+    linked = post.filter(F.exists("posts", lambda p: p["role"] == LINKED)).select("u", "v")
+    more = scratch.write(verified(rest, sets, similarity).unionByName(linked), "more")
+    # a component's label is one of its nodes, so the new links need connecting between labels only
+    label_of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    between = more.join(label_of("u"), "u", "left").join(label_of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")).filter("u <> v").distinct()
+    joined = connected_components(between, scratch, "cc2").select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    scratch.drop("members", "stars", "tagged", "many", "posts", "rest", "sets")
+    own = scratch.write(reps.join(labels, F.col("nid") == F.col("node"), "left").select("nid", "rep", F.coalesce("label", "nid").alias("label")), "own")
+    return signed.select("doc_id", "nid"), skew_join(own, joined, ["label"], "left").select("nid", "rep", F.coalesce("joined", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, **params) -> DataFrame:
-    """(doc_id, class_id, kept) for every row of ``docs``, see :func:`classes`; kept marks each class's document."""
-    return classes(docs, spark, **params).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    """(doc_id, class_id, kept) for every row of ``docs`` (doc_id long, text); kept marks one text of each class.
+
+    A class is a connected component of the texts under exact Jaccard similarity of their sets of word
+    n-grams (``weighted``: multisets) of at least ``similarity``, among pairs that share a band; class_id
+    is its smallest doc_id. Steps:
+
+    - equal texts are one node, whatever their doc_ids, so copies are never paired;
+    - a node's band keys are dealt out, and in each bucket all members are paired with one centre, the
+      member that meets most others over all buckets, verified on the sets, and connected;
+    - in buckets that still hold several components, members meet by what they have besides one
+      centre (:func:`posts`), and of those that meet, the join lets pass those whose parities are near
+      enough (:func:`may_be_similar`); neither loses a link.
+
+    So every similar pair that shares a band is verified or already connected, and no step emits the
+    pairs of a group. Sets are compared by 48-bit hashes of n-grams, texts by 64-bit hashes.
+
+    Null texts count as empty, and all texts without words are one text. A text of fewer than n words
+    is one n-gram. Repeated rows are copies. Rows that repeat a doc_id with another text are texts of
+    their own, in a class only if similar. Rows without a doc_id are matched as others are; a class of
+    only such rows has a null class_id. kept is true on the rows with the class's smallest doc_id and,
+    of several texts with that id, on the one of smallest hash. Other columns are ignored. An empty
+    table gives an empty one.
+    """
+    scratch = Scratch(spark, "near")
+    rows, nodes = texts(docs, spark, scratch, **params)
+    nodes = scratch.write(nodes, "nodes")
+    heads = scratch.write(first_of(nodes).select("label", F.col("rep").alias("class_id"), F.col("nid").alias("head")), "heads")
+    of_text = scratch.write(skew_join(nodes, heads, ["label"]).select("nid", "class_id", "head"), "of-text")
+    scratch.drop("nodes", "heads", "own", "reps", "links", "more")
+    return skew_join(rows, of_text, ["nid"]).select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("nid") == F.col("head"))).alias("kept"))
+
+
+def first_of(nodes: DataFrame) -> DataFrame:
+    """(label, rep, nid) of the text of smallest doc_id of each class, null last."""
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "nid")).alias("m")
+    return nodes.groupBy("label").agg(best).select("label", "m.rep", "m.nid")
 
 
 def drop_near_duplicates(docs: DataFrame, spark: SparkSession, **params) -> DataFrame:
-    """The rows of ``docs`` with one row left of each class: one of its smallest doc_id's.
+    """The rows of ``docs`` with one row left of each class, the one that :func:`near_duplicates` marks.
 
-    A class without any doc_id leaves one row, too.
+    Of repeated rows that differ in other columns only, any one stays. A class without any doc_id
+    leaves one row, too. All columns stay as they are.
     """
-    found = Scratch(spark, "classes").write(classes(docs, spark, **params), "classes")
-    first = found.filter("doc_id = class_id").select(F.col("class_id").alias("doc_id")).distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    of_others = found.filter("class_id IS NOT NULL AND doc_id IS NULL").select(F.col("nid").alias("__nid")).distinct()
-    nameless = docs.filter("doc_id IS NULL").withColumn("__nid", F.xxhash64(normalised(F.col("text")))).join(of_others, "__nid", "left_anti").dropDuplicates(["__nid"])
-    return named.unionByName(nameless.select(*docs.columns))
+    scratch = Scratch(spark, "classes")
+    _, nodes = texts(docs, spark, scratch, **params)
+    heads = scratch.write(first_of(nodes), "heads")
+    scratch.drop("signed", "own", "reps", "links", "more")
+    key = lambda c: {"__none": F.col(c).isNull(), "__id": F.coalesce(F.col(c).cast("long"), F.lit(0))}
+    keys = ["__nid", "__none", "__id"]
+    wanted = heads.select(F.col("nid").alias("__nid"), "rep").withColumns(key("rep")).select(*keys)
+    marked = docs.withColumn("__nid", text_id(F.col("text").cast("string"))).withColumns(key("doc_id"))
+    return marked.join(wanted, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
