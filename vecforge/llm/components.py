@@ -18,7 +18,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     once the next is written.
     """
     both = scratch.write(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    hubs = scratch.write(hot_keys(both, ["v"], both.count()).select("v"), f"{name}-hubs")
+    total = both.count()
+    if not total:
+        return both.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    hubs = scratch.write(hot_keys(both, ["v"], total).select("v"), f"{name}-hubs")
     some = bool(hubs.limit(1).count())
     of_hubs, others = (both.join(F.broadcast(hubs), "v", "left_semi"), both.join(F.broadcast(hubs), "v", "left_anti")) if some else (None, both)
     labels = scratch.write(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), f"{name}-0")
