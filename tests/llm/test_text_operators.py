@@ -7,6 +7,7 @@ import tempfile
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vecforge.llm import common, mixing, packing, quality_rules, substring_dedup
 
@@ -148,6 +149,42 @@ def test_packing_is_whole_and_tight(spark, capacity):
     assert packing.pack(df.limit(0), spark).count() == 0
 
 
+def plain_packing(rows, capacity, per_source):
+    """One group in plain Python: of all bins with room that hold no such cluster, the tightest, else a new one."""
+    pieces = []
+    for i, t, s, copy in rows:
+        n = len(WORD.findall(t or ""))
+        h = spark_hash(" ".join(WORD.findall(t or "")))
+        pieces += [(-min(capacity, n - k * capacity), h, i, s is None, s or "", copy, k) for k in range(max(1, -(-n // capacity)))]
+    bins, out = [], []
+    for length, h, i, none, s, _, k in sorted(pieces):
+        length = -length
+        fits = [b for b, x in enumerate(bins) if x["room"] >= max(length, 1) and h not in x["held"] and x["sources"].count((none, s)) < per_source]
+        at = min(fits, key=lambda b: (bins[b]["room"], b), default=None)
+        if at is None:
+            at = len(bins)
+            bins.append({"room": capacity, "held": set(), "sources": []})
+        out.append((at, capacity - bins[at]["room"], i, k, length))
+        bins[at]["room"] -= length
+        bins[at]["held"].add(h)
+        bins[at]["sources"].append((none, s))
+    return sorted(out)
+
+
+def test_packing_matches_plain_python_whatever_the_partitions(spark):
+    rng = random.Random(9)
+    texts = [t for t in TEXTS if t is None or "\x0b" not in t] + [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 90))) for _ in range(150)] + ["same words here"] * 9
+    rows = [(i, t, ["a", "b", None][i % 3]) for i, t in enumerate(texts)]
+    repeats = collections.Counter(rows + rows[:6] * 2)
+    df = spark.createDataFrame(list(repeats.elements()), "doc_id long, text string, source string")
+    want = plain_packing([(*r, k) for r, n in repeats.items() for k in range(n)], 40, 3)
+    for parts in (1, 7):
+        got = packing.pack(df.repartition(parts, F.rand(parts)), spark, capacity=40, per_source=3).collect()
+        assert sorted((r["bin_id"], r["offset"], r["doc_id"], r["piece"], r["length"]) for r in got) == want
+    some = [sorted(map(str, packing.pack(df.repartition(n, F.rand(n)), spark, capacity=40, group_rows=20).collect())) for n in (1, 5)]
+    assert some[0] == some[1]
+
+
 def test_packing_keeps_bins_of_many_groups_apart(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) for _ in range(1500)]

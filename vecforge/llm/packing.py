@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import normalised, prepare, word_count
+from vecforge.llm.common import Scratch, normalised, prepare, word_count
 
 #: Words a bin holds.
 CAPACITY = 2048
 #: Pieces of one source that a bin takes.
 PER_SOURCE = 4
 #: Mean number of pieces packed together; more pieces make more groups, not larger ones.
-GROUP_ROWS = 2048
+GROUP_ROWS = 8192
 #: Bins of one group are numbered from group * STRIDE.
 STRIDE = 1 << 24
 
@@ -52,13 +52,16 @@ class Bins:
         return b, self.capacity - room
 
 
-def pack_rows(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFrame:
-    """Best-fit decreasing over one group; rows has doc_id, piece, length, source, cluster, copy."""
-    rows = rows.sort_values(["length", "cluster", "doc_id", "copy", "piece"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-    sources, clusters = pd.factorize(rows["source"], use_na_sentinel=False)[0], pd.factorize(rows["cluster"])[0]
+def pack_rows(rows: pa.Table, capacity: int, per_source: int) -> tuple[list[int], list[int], list[int]]:
+    """Best-fit decreasing over one group: (row, bin, offset) of each piece in the order they are placed."""
+    cols = {c: rows.column(c).to_pylist() for c in ("doc_id", "piece", "length", "source", "cluster", "copy")}
+    rank = lambda i: (-cols["length"][i], cols["cluster"][i], cols["doc_id"][i] is None, cols["doc_id"][i] or 0, cols["source"][i] is None, cols["source"][i] or "", cols["copy"][i], cols["piece"][i])
+    order = sorted(range(rows.num_rows), key=rank)
+    sources: dict[str | None, int] = {}
+    clusters: dict[int, int] = {}
     bins = Bins(capacity, per_source)
-    put = [bins.place(*x) for x in zip(rows["length"].tolist(), sources.tolist(), clusters.tolist(), strict=True)]
-    return rows.assign(bin=[b for b, _ in put], offset=[o for _, o in put])
+    put = [bins.place(cols["length"][i], sources.setdefault(cols["source"][i], len(sources)), clusters.setdefault(cols["cluster"][i], len(clusters))) for i in order]
+    return order, [b for b, _ in put], [o for _, o in put]
 
 
 def pack(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_rows: int = GROUP_ROWS, cluster: Column | None = None, length: Column | None = None) -> DataFrame:
@@ -67,28 +70,32 @@ def pack(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, per_sou
     A document longer than a bin is cut into pieces of ``capacity`` words and a rest; start is the
     piece's first word in its document, offset its first in the bin. A bin takes at most one piece of a
     duplicate cluster (by default: of equal words; pieces of one document count, too) and at most
-    ``per_source`` of a source. Bins are packed by best fit, longest piece first, within groups that hash
-    (cluster, piece, copy number) deals out evenly; the number of groups follows the number of
-    documents, so no source, cluster or long document makes a group large, and no text is shuffled.
+    ``per_source`` of a source. Bins are packed by best fit, longest piece first, within groups that a
+    hash of (cluster, piece, doc_id, source, copy number) deals out evenly; the number of groups follows
+    the number of pieces, so no source, cluster or long document makes a group large, and no text is
+    shuffled. The bins depend on the rows only, not on their order or partitions.
 
     A null text is empty; an empty document is one piece of length 0. Null sources are one source.
-    Repeated rows are packed each. An empty table gives an empty one. Other columns are ignored.
+    Repeated rows are counted first and then packed each. An empty table gives an empty one. Other
+    columns are ignored.
     """
     prepare(spark)
-    size = word_count(F.col("text")) if length is None else length
+    size = word_count(F.col("text")) if length is None else length.cast("long")
     same = F.xxhash64(normalised(F.col("text"))) if cluster is None else cluster.cast("long")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), same.alias("cluster"))
-    groups = max(1, -(-docs.count() // group_rows))
-    last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
-    cut = sized.select("doc_id", "source", "cluster", "size", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    # rows of equal words that differ in nothing else still go to different groups
-    spread = F.pmod(F.xxhash64("cluster", "piece", "doc_id", F.col("row")), F.lit(groups)).cast("int")
-    dealt = cut.select("doc_id", "source", "cluster", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("length"), F.col("row").alias("copy"), spread.alias("group"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pack_rows(rows, capacity, per_source)
-        out["bin_id"] = out["bin"] + int(key[0]) * STRIDE  # the key is a 32-bit numpy integer, which would wrap
-        out["start"] = out["piece"].astype("int64") * capacity
-        return out[["bin_id", "offset", "doc_id", "piece", "start", "length", "source"]]
-
-    return dealt.groupBy("group").applyInPandas(run, "bin_id long, offset int, doc_id long, piece int, start long, length int, source string")
+    counted = Scratch(spark, "pack").write(sized.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("copies")), "sized")
+    pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
+    total = counted.agg(F.sum(F.col("copies") * pieces)).first()[0] or 0
+    groups = max(1, -(-total // group_rows))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("piece", F.explode(F.sequence(F.lit(0), (pieces - 1).cast("int"))))
+    spread = F.pmod(F.xxhash64("cluster", "piece", "doc_id", "source", "copy"), F.lit(groups)).cast("long")
+    dealt = each.select("doc_id", "source", "cluster", "copy", "piece", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int").alias("length"), spread.alias("group"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order, bins, offsets = pack_rows(rows, capacity, per_source)
+        rows = rows.take(order)
+        base = key[0].as_py() * STRIDE
+        starts = [p * capacity for p in rows.column("piece").to_pylist()]
+        return pa.table({"bin_id": pa.array([base + b for b in bins], pa.int64()), "offset": pa.array(offsets, pa.int32()), "doc_id": rows.column("doc_id"), "piece": rows.column("piece"), "start": pa.array(starts, pa.int64()), "length": rows.column("length"), "source": rows.column("source")})
+
+    return dealt.groupBy("group").applyInArrow(run, "bin_id long, offset int, doc_id long, piece int, start long, length int, source string")
