@@ -33,8 +33,11 @@ def test_warc_files_are_gzip_members_and_damage_is_found(spark):
     blob = archives[0]["content"]
     assert gzip.GzipFile(fileobj=io.BytesIO(blob)).read().count(b"WARC/1.1\r\n") == len(list(warc.read_archive(blob)))
     assert [r["page_id"] for r in warc.read_archive(blob, 7)] == [r["page_id"] for r in warc.read_archive(blob)]
-    with pytest.raises(warc.BadRecord):
-        list(warc.read_archive(blob[:-9]))
+    whole = len(list(warc.read_archive(blob)))
+    for cut in (blob[:-9], blob[:-1], blob[:5], blob + b"junk", blob + blob[:1]):
+        with pytest.raises(warc.BadRecord):
+            list(warc.read_archive(cut))
+    assert len(list(warc.read_archive(blob + blob, 11))) == 2 * whole
     plain = warc.record(1, "u", b"abc" * 50, None, "p")
     raw = gzip.decompress(plain)
     for bad in (raw.replace(b"abcabc", b"abcabd", 1), raw.replace(b"Content-Length: ", b"Content-Length: 1", 1), raw[4:]):
@@ -42,6 +45,22 @@ def test_warc_files_are_gzip_members_and_damage_is_found(spark):
             list(warc.read_archive(gzip.compress(bad)))
 
 
+def test_warc_record_ids_are_of_page_and_payload(spark):
+    big = ["a" * 200, "b" * 200]
+    rows = [(1, "u", big[0], ""), (1, "v", big[1], ""), (2, "u", big[0], ""), (3, "u", big[1], "")]
+    scratch = Scratch(spark, "t")
+    archives = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), spark, scratch)
+    found = [r for x in archives.collect() for r in warc.read_archive(x["content"])]
+    ids = {r["record_id"]: r["digest"] for r in found if r["record_type"] == "response"}
+    assert len(ids) == 2 and len({r["record_id"] for r in found}) == 4
+    assert all(ids[r["refers_to"]] == r["digest"] for r in found if r["record_type"] == "revisit")
+    got = {(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(archives, scratch).collect()}
+    assert {(i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h, _ in rows} == {x[:2] for x in got} and all(x[3] == (1 if x[2] == "revisit" else None) for x in got)
+    lone = spark.createDataFrame([("x", bytearray(warc.record(9, "u", b"c" * 200, 4, "p")))], "archive string, content binary")
+    with pytest.raises(Exception, match="missing record"):
+        warc.read_archives(lone, Scratch(spark, "t")).collect()
+
+
 def test_transport_stream_round_trip(spark):
     texts = [None, "", "x" * 191, "x" * 192, "é" * 5000, "ab" * 100_000, "z"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "z", 1)], "doc_id long, text string, media int")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecforge.llm.common import Scratch, prepare
+from vecforge.llm.common import HOT_ROWS, HOT_SHARE, Scratch, prepare, skew_join
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 100
@@ -42,14 +42,18 @@ def clean(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
 
 
+def record_id(page_id: int, payload: bytes) -> str:
+    """The id of a page's response; pages that share a page_id but not the payload have ids of their own."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{label(payload)}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str) -> bytes:
-    """A response, or with refers_to a revisit that holds the headers only."""
-    rid = lambda p: uuid.uuid5(_SPACE, f"page:{p}")
-    own = rid(page_id) if refers_to is None and page_id is not None else uuid.uuid5(_SPACE, f"row:{place}:{page_id}")
-    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{own}>"), ("WARC-Date", _EPOCH), ("WARC-Target-URI", clean(url)), ("X-Page-Id", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", label(payload))]
+    """A response, or with refers_to (the page_id of the response) a revisit that holds the headers only."""
+    own = record_id(page_id, payload) if refers_to is None and page_id is not None else f"<urn:uuid:{uuid.uuid5(_SPACE, f'row:{place}:{page_id}')}>"
+    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", own), ("WARC-Date", _EPOCH), ("WARC-Target-URI", clean(url)), ("X-Page-Id", "" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", label(payload))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        headers += [("WARC-Refers-To", f"<urn:uuid:{rid(refers_to)}>"), ("X-Refers-To-Page-Id", str(refers_to)), ("WARC-Profile", PROFILE)]
+        headers += [("WARC-Refers-To", record_id(refers_to, payload)), ("WARC-Profile", PROFILE)]
         payload = b""
     block = http + payload
     return member([*headers, ("WARC-Block-Digest", label(block))], block)
@@ -60,16 +64,19 @@ class BadRecord(ValueError):
 
 
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    """The inflated content of each gzip member, fed chunk by chunk."""
-    z, parts = zlib.decompressobj(31), []
+    """The inflated content of each gzip member, fed chunk by chunk; BadRecord for a cut member or bytes that are none."""
+    z, parts, fed = zlib.decompressobj(31), [], False
     for chunk in chunks:
         while chunk:
-            parts.append(z.decompress(chunk))
-            chunk = z.unused_data
+            try:
+                parts.append(z.decompress(chunk))
+            except zlib.error as e:
+                raise BadRecord(f"not a gzip member: {e}") from None
+            fed, chunk = True, z.unused_data
             if z.eof:
                 yield b"".join(parts)
-                z, parts = zlib.decompressobj(31), []
-    if any(parts) or z.unconsumed_tail:
+                z, parts, fed = zlib.decompressobj(31), [], False
+    if fed:
         raise BadRecord("the last gzip member ends early")
 
 
@@ -94,7 +101,7 @@ def read_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_archive(blob: bytes, chunk: int = READ_BYTES) -> Iterator[dict]:
-    """A dict per record: page_id, url, record_type, refers_to, payload (None for revisits), digest (hex)."""
+    """A dict per record: page_id, url, record_type, record_id, refers_to (a record id or None), payload (None for revisits), digest (hex)."""
     for data in members(blob[i : i + chunk] for i in range(0, len(blob), chunk)):
         headers, block = read_record(data)
         kind = headers.get("warc-type")
@@ -104,8 +111,10 @@ def read_archive(blob: bytes, chunk: int = READ_BYTES) -> Iterator[dict]:
             raise BadRecord("not an HTTP response with a payload digest")
         if kind == "response" and (said != label(payload) or int(headers_of(http)["content-length"]) != len(payload)):
             raise BadRecord("the payload's digest or length differs")
-        number = lambda k: int(headers[k]) if headers.get(k) else None
-        yield {"page_id": number("x-page-id"), "url": headers.get("warc-target-uri", ""), "record_type": kind, "refers_to": number("x-refers-to-page-id"), "payload": payload if kind == "response" else None, "digest": base64.b32decode(said[7:]).hex()}
+        if kind == "revisit" and not headers.get("warc-refers-to"):
+            raise BadRecord("a revisit refers to no record")
+        page = headers.get("x-page-id")
+        yield {"page_id": int(page) if page else None, "url": headers.get("warc-target-uri", ""), "record_type": kind, "record_id": headers.get("warc-record-id"), "refers_to": headers.get("warc-refers-to"), "payload": payload if kind == "response" else None, "digest": base64.b32decode(said[7:]).hex()}
 
 
 def _write(limit: int):
@@ -136,39 +145,54 @@ def write_archives(pages: DataFrame, spark: SparkSession, scratch: Scratch, revi
     """
     prepare(spark)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    first = slim.filter((F.octet_length("html") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first")).withColumnRenamed("digest", "first_digest")
-    planned = slim.join(first, F.col("digest") == F.col("first_digest"), "left").select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
-    return scratch.write(planned.mapInArrow(_write(ARCHIVE_BYTES), "archive string, content binary"), "archives")
+    first = scratch.write(slim.filter((F.octet_length("html") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1"), "first")
+    total = first.agg(F.sum("times")).first()[0] or 0
+    hot = first.filter(F.col("times") > max(HOT_ROWS, total // HOT_SHARE)).select("digest", "first")  # HOT_SHARE rows at most
+    few = slim.join(F.broadcast(hot), "digest", "left_anti")
+    planned = slim.join(F.broadcast(hot), "digest").unionByName(few.join(first.select("digest", "first"), "digest", "left"))
+    referred = planned.select("page_id", "url", "html", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    return scratch.write(referred.mapInArrow(_write(ARCHIVE_BYTES), "archive string, content binary"), "archives")
+
+
+_FIELDS = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("content"):
-            rows = [r | {"payload_bytes": None if r["payload"] is None else len(r["payload"])} for r in read_archive(blob.as_py())]
-            fields = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in fields], [k for k, _ in fields])
+            rows = []
+            for r in read_archive(blob.as_py()):
+                payload = r.pop("payload")
+                rows.append(r | {"payload_bytes": None if payload is None else len(payload)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in _FIELDS], [k for k, _ in _FIELDS])
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record.
 
     Each archive is read in sequence by one task: members are inflated 64 KB at a time, blocks framed by
-    Content-Length, block and payload digests verified; a breach raises BadRecord. A revisit stores no payload;
-    its length is looked up from the response it refers to.
+    Content-Length, block and payload digests verified; a breach raises BadRecord. A revisit stores no
+    payload: its length, and the page_id that refers_to gives, come from the response that
+    WARC-Refers-To names. One that is in no archive, or has another payload digest, is an error.
     """
-    read = archives.mapInArrow(_read, "page_id long, url string, payload_bytes long, digest string, record_type string, refers_to long")
-    stored = read.filter("record_type = 'response'").groupBy(F.col("page_id").alias("at"), F.col("digest").alias("at_digest")).agg(F.max("payload_bytes").alias("stored_bytes"))
-    return read.join(stored, (F.col("refers_to") == F.col("at")) & (F.col("digest") == F.col("at_digest")), "left").select("page_id", "url", F.coalesce("payload_bytes", "stored_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    read = scratch.write(archives.mapInArrow(_read, "page_id long, url string, payload_bytes long, digest string, record_type string, record_id string, refers_to string"), "records")
+    stored = read.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("page_id").alias("at"), F.max("payload_bytes").alias("stored_bytes"), F.max("digest").alias("stored_digest"))
+    revisits = skew_join(read.filter("record_type = 'revisit'"), stored, ["refers_to"], "left")
+    said = F.when(F.col("stored_digest").isNull(), F.raise_error(F.concat(F.lit("a revisit refers to a missing record: "), "refers_to"))).when(F.col("stored_digest") != F.col("digest"), F.raise_error(F.concat(F.lit("a revisit differs from the record it refers to: "), "refers_to"))).otherwise(F.col("stored_bytes"))
+    columns = lambda df, size, at: df.select("page_id", "url", size.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", at.alias("refers_to"))
+    return columns(read.filter("record_type = 'response'"), F.col("payload_bytes"), F.lit(None).cast("long")).unionByName(columns(revisits, said, F.col("at")))
 
 
 def roundtrip(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """Write the archives of ``pages`` and read them back: a row per row of ``pages``.
 
     A null html is an empty payload. Rows that repeat the smallest page_id of a payload are each a
-    response; rows without a page_id are responses, too. Extra columns are ignored; an empty table gives
+    response, with one record id, which names them all; rows without a page_id are responses, too, and
+    rows that share a page_id with other payloads are records of their own. Extra columns are ignored; an empty table gives
     an empty one.
     """
-    return read_archives(write_archives(pages, spark, Scratch(spark, "warc"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark, "warc")
+    return read_archives(write_archives(pages, spark, scratch), scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""
