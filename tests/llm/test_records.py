@@ -75,21 +75,94 @@ def test_transport_stream_round_trip(spark):
     assert media.media_columns(df.limit(0), spark).count() == 0
 
 
+def plain_packets(stream):
+    """(pid, starts, random access, payload) of each packet, byte by byte."""
+    for i in range(0, len(stream), 188):
+        p = stream[i : i + 188]
+        assert p[0] == 0x47
+        control, at, seek = p[3] >> 4 & 3, 4, False
+        if control & 2:
+            at += 1 + p[4]
+            seek = p[4] > 0 and bool(p[5] & 0x40)
+        yield (p[1] & 31) << 8 | p[2], bool(p[1] & 64), seek, p[at:] if control & 1 else b""
+
+
+def test_transport_stream_features_match_plain_parsing(spark):
+    texts = ["ab c" * 30_000, "é", None, "".join(chr(32 + i % 90) for i in range(50_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    media_of = {r["doc_id"]: bytes(r["media"]) for r in media.to_media(df, spark).collect()}
+    for r in media.media_columns(df, spark).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        payload = data + b" " * ((-len(data)) % 192 if data else 192)
+        units, got = [], b""
+        stream = media_of[r["doc_id"]]
+        for pid, starts, seek, body in plain_packets(stream):
+            if pid != 0x101:
+                continue
+            if starts:
+                assert body[:3] == b"\0\0\1" and body[7] >> 6 == 2
+                b = body[9:14]
+                bits = f"{b[0]:08b}"[4:7] + f"{b[1]:08b}{b[2]:08b}"[:15] + f"{b[3]:08b}{b[4]:08b}"[:15]
+                units.append((int(bits, 2), len(got), seek))
+                body = body[9 + body[8] :]
+            got += body
+        assert got == payload
+        seeks = [o for _, o, s in units if s]
+        steps = sum(abs(x - y) for x, y in zip(payload, payload[1:]))
+        assert r["feature"] == f"packets={len(stream) // 188};programs=1;streams=1;breaks=0;units={len(units)};pts={units[0][0]}-{units[-1][0]};seek={len(seeks)}@{seeks[-1]};sum={sum(payload)};energy={sum(x * x for x in payload)};steps={steps}"
+        assert (r["n_units"], r["first_pts"], r["last_pts"], r["seek_points"]) == (len(units), units[0][0], units[-1][0], seeks)
+
+
 def test_transport_stream_damage_is_found():
     stream = media.multiplex(b"q" * 192 * 300)
-    lost = stream[: 188 * 20] + stream[188 * 21 :]
+    cut = lambda i, *more: stream[: 188 * i] + b"".join(more) + stream[188 * i :]
     with pytest.raises(media.BadStream):
-        media.demultiplex(lost)
+        media.demultiplex(stream[: 188 * 20] + stream[188 * 21 :])
     with pytest.raises(media.BadStream):
         media.demultiplex(b"\0" + stream[1:])
+    with pytest.raises(media.BadStream):
+        media.demultiplex(stream[188:])
     swapped = bytearray(stream)
     swapped[188 * 20 + 3] ^= 5
     assert media.demultiplex(bytes(swapped))["breaks"] == 2
+    with pytest.raises(media.BadStream):
+        media.demultiplex(bytes(swapped), strict=True)
+    whole = media.demultiplex(stream, strict=True)["payload"]
+    twice = media.demultiplex(cut(21, stream[188 * 20 : 188 * 21]), strict=True)
+    assert twice["payload"] == whole and twice["duplicates"] == 1
+    counter = stream[188 * 20 + 3] & 15
+    only_field = bytes([0x47, 0x01, 0x01, 0x20 | counter, 183, 0]).ljust(188, b"\xff")
+    assert media.demultiplex(cut(21, only_field), strict=True)["payload"] == whole
+    tables = stream[: 188 * 2]
+    assert media.demultiplex(cut(30, tables), strict=True)["payload"] == whole
     assert media.section_crc(b"123456789") == 0x0376E6E7
     for pts in (0, 1, 90_000, (1 << 33) - 1):
         assert media.pts_value(media.pts_bytes(pts)) == pts
 
 
+def test_several_programs_and_streams_are_parsed():
+    def pes(data, pts=None, length=True):
+        head = b"\x80" + (b"\x80\x05" + media.pts_bytes(pts) if pts is not None else b"\x00\x00")
+        return b"\x00\x00\x01\xe0" + (len(head) + len(data) if length else 0).to_bytes(2, "big") + head + data
+
+    def packets(pid, data):
+        return [media._stuffed(pid, i & 15, i == 0, data[k : k + 180]) for i, k in enumerate(range(0, len(data), 180))]
+
+    info = lambda *streams: b"\xe1\x00\xf0\x00" + b"".join(bytes([t]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x00" for t, p in streams)
+    pat = media.section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x01\xe0\x20" + b"\x00\x02\xe0\x30")
+    long = media.section(2, 2, info((0x1B, 0x301), *[(6, 0x310 + i) for i in range(60)]))  # spans two packets
+    first, rest = long[:183], long[183:]
+    spanned = media.section_packet(0x30, first) + (bytes([0x47, 0x00, 0x30, 0x11]) + rest).ljust(188, b"\xff")
+    one, two, three = packets(0x201, pes(b"a" * 500, 7)), packets(0x202, pes(b"b" * 400)), packets(0x301, pes(b"c" * 300, 9, length=False))
+    mixed = [x for group in zip(one, two + [b""], three + [b""], strict=False) for x in group]
+    stream = media.section_packet(0, pat) + media.section_packet(0x20, media.section(2, 1, info((2, 0x201), (3, 0x202)))) + spanned + b"".join(mixed)
+    got = media.demultiplex(stream, strict=True)
+    assert (got["programs"], got["streams"], got["payload"]) == (2, 63, b"a" * 500)
+    by_pid = {x["pid"]: x for x in got["elementary"]}
+    assert (by_pid[0x202]["payload"], by_pid[0x202]["units"]) == (b"b" * 400, [(None, 0, False)])
+    assert (by_pid[0x301]["payload"], by_pid[0x301]["units"][0][0], by_pid[0x301]["program"]) == (b"c" * 300, 9, 2)
+
+
 def test_crf_gradient_finds_a_rule_and_viterbi_is_best():
     rng = random.Random(0)
     data = [([[rng.randrange(4)] for _ in range(8)],) for _ in range(60)]

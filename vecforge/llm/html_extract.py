@@ -6,6 +6,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +33,32 @@ _attr = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^
 _token = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element: what its leaves need to know of it and of its ancestors, carried down from its parent.
+
+    ``inherited`` holds the ancestor features; elements that add none share their parent's set, so deep
+    nesting costs no more than its distinct tags and names. ``key`` stands for the whole path.
+    """
+
+    __slots__ = ("tag", "names", "parent", "depth", "block", "main", "inherited", "key")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.depth = 1 + (parent.depth if parent else 0)
+        self.block = tag if tag in BLOCK else parent.block if parent else ""
+        self.main = tag in ("article", "main") or bool(parent and parent.main)
+        above = parent.inherited if parent else frozenset()
+        own = {f"name:{x}" for x in names} | ({f"in:{tag}"} if tag not in ("html", "body") else set())
+        self.inherited = above if own <= above else above | own
+        self.key = hash((parent.key if parent else 0, tag, names))
+
+
 @dataclass
 class Leaf:
-    """A run of text between block boundaries: its text, ancestors (tag, name tokens) and characters in links."""
+    """A run of text between block boundaries: its text, innermost open element and characters in links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     linked: int
 
 
@@ -55,7 +76,8 @@ def _names(attrs: str) -> tuple[str, ...]:
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page in order, with character references decoded and white space made one space."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links, at, raw, n = 0, 0, "", len(page)
 
@@ -63,13 +85,14 @@ def leaves(page: str) -> list[Leaf]:
         nonlocal links
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Leaf(text, tuple(stack), links))
+            out.append(Leaf(text, stack[-1] if stack else None, links))
         parts.clear()
         links = 0
 
     def close(k: int) -> None:
-        if any(t in BLOCK for t, _ in stack[k:]):
+        if any(e.tag in BLOCK for e in stack[k:]):
             flush()
+        open_tags.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     while at < n:
@@ -84,7 +107,7 @@ def leaves(page: str) -> list[Leaf]:
         if lt > at:
             text = page[at:lt]
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if open_tags["a"]:
                 links += len(text.strip())
         if lt == n:
             break
@@ -98,37 +121,39 @@ def leaves(page: str) -> list[Leaf]:
         if not tag:
             continue
         tag = tag.lower()
+        if ending and not open_tags[tag]:
+            if tag in BLOCK:
+                flush()
+            continue
         if ending:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     close(k)
                     break
-                if stack[k][0] in ("td", "th", "li") and tag not in BLOCK:
+                if stack[k].tag in ("td", "th", "li") and tag not in BLOCK:
                     break
-            else:
-                if tag in BLOCK:
-                    flush()
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCK:
             for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
+                if stack[k].tag == "p":
                     close(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k].tag in BLOCK:
                     break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS.get(tag, ()):
+            for k in range(len(stack) - 1, -1, -1) if tag in ENDS else ():
+                if stack[k].tag in ENDS[tag]:
                     close(k)
                     break
-                if stack[k][0] in SCOPE and stack[k][0] != "table" or tag in ("li", "dt", "dd") and stack[k][0] == "table":
+                if stack[k].tag in SCOPE and stack[k].tag != "table" or tag in ("li", "dt", "dd") and stack[k].tag == "table":
                     break
             flush()
         if tag in RAW and not attrs.rstrip().endswith("/"):
             raw = tag
         elif tag not in VOID and not attrs.endswith("/"):
-            stack.append((tag, _names(attrs)))
+            stack.append(Node(tag, _names(attrs), stack[-1] if stack else None))
+            open_tags[tag] += 1
     flush()
     return out
 
@@ -138,28 +163,27 @@ def features(blocks: list[Leaf]) -> list[list[int]]:
     out = []
     n = len(blocks)
     ident = functools.lru_cache(maxsize=None)(lambda s: crf.feature_id(s, BUCKETS))
+    above = lambda x: x.node.parent.key if x.node and x.node.parent else 0
     for i, leaf in enumerate(blocks):
         words = leaf.text.split(" ")
         size = min(7, len(words).bit_length())
         link = int(4 * min(1.0, leaf.linked / max(1, len(leaf.text))))
-        tags = [t for t, _ in leaf.path]
-        own = tags[-1] if tags else ""
-        block = next((t for t in reversed(tags) if t in BLOCK), "")
+        node = leaf.node
+        own, block, parent = (node.tag, node.block, node.parent) if node else ("", "", None)
         f = {"bias", f"size:{size}", f"link:{link}", f"link:{link}:{size}", f"tag:{block}", f"own:{own}"}
-        f |= {f"in:{t}" for t in tags if t not in ("html", "body")}
-        f |= {f"name:{x}" for _, names in leaf.path for x in names}
-        f |= {f"near:{x}" for _, names in leaf.path[-2:] for x in names}
+        f |= node.inherited if node else set()
+        f |= {f"near:{x}" for e in (node, parent) if e for x in e.names}
         f.add("ends:" + (leaf.text[-1] if not leaf.text[-1].isalnum() else "a"))
-        f.add(f"depth:{min(6, len(tags))}")
+        f.add(f"depth:{min(6, node.depth if node else 0)}")
         if i == 0:
             f.add("first")
         if i == n - 1:
             f.add("last")
         if "©" in leaf.text or "copyright" in leaf.text[:200].lower():
             f.add("copyright")
-        if i and blocks[i - 1].path[:-1] == leaf.path[:-1]:
+        if i and above(blocks[i - 1]) == above(leaf):
             f.add("same")
-        if not any(t in ("article", "main") for t in tags):
+        if not (node and node.main):
             f |= {f"out:{block}:{size}", f"out:link:{link}"}
         out.append([ident(x) for x in sorted(f)])
     return out
@@ -182,7 +206,7 @@ def _page(rng: random.Random) -> tuple[str, list[int]]:
 
     def boiler(where: str) -> str:
         kinds = {
-            "top": [lambda: links(rng.choice(["nav", "nav class='menu'", "div class='navbar'", "div id='nav-menu'", "header"]), rng.randint(2, 8)), lambda: f"<header>{leaf('h1', words(1, 4), OTHER)}{leaf('p', words(2, 8), OTHER)}</header>", lambda: leaf(rng.choice(["div class='ad'", "div class='ads banner'", "div class='advert'", "div id='advertisement'", "div class='sponsored'", "div class='promo'"]), prose(), OTHER), lambda: leaf(rng.choice(["div class='notice'", "div class='cookie-notice'", "div id='cookie-banner'", "div class='alert'", "div role='alert'", "div class='consent'", "div class='breadcrumbs'"]), prose(), OTHER), lambda: f"<form>{leaf('label', words(1, 3), OTHER) if False else ''}<input>{leaf('button', words(1, 2), OTHER)}</form>"],
+            "top": [lambda: links(rng.choice(["nav", "nav class='menu'", "div class='navbar'", "div id='nav-menu'", "header"]), rng.randint(2, 8)), lambda: f"<header>{leaf('h1', words(1, 4), OTHER)}{leaf('p', words(2, 8), OTHER)}</header>", lambda: leaf(rng.choice(["div class='ad'", "div class='ads banner'", "div class='advert'", "div id='advertisement'", "div class='sponsored'", "div class='promo'"]), prose(), OTHER), lambda: leaf(rng.choice(["div class='notice'", "div class='cookie-notice'", "div id='cookie-banner'", "div class='alert'", "div role='alert'", "div class='consent'", "div class='breadcrumbs'"]), prose(), OTHER), lambda: f"<form><input>{leaf('button', words(1, 2), OTHER)}</form>"],
             "side": [lambda: f"<aside>{leaf('h3', words(1, 3), OTHER)}{leaf('p', prose(), OTHER)}</aside>", lambda: f"<div class='sidebar'>{leaf('h3', words(1, 3), OTHER)}{links('div', rng.randint(1, 5))}{leaf('p', prose(), OTHER)}</div>", lambda: links(rng.choice(["div class='related'", "div class='widget'", "aside class='sidebar'", "section class='recommended'", "div class='share'", "div class='social'"]), rng.randint(1, 5))],
             "end": [lambda: leaf("footer", rng.choice(["&copy; ", "Copyright ", "", "&copy; x.example.com &middot; "]) + prose(), OTHER), lambda: f"<footer>{leaf('p', prose(), OTHER)}{links('div', rng.randint(1, 4))}</footer>", lambda: f"<div class='footer'>{leaf('p', prose(), OTHER)}</div>", lambda: f"<div id='footer'>{leaf('span', prose(), OTHER)}</div>"],
         }

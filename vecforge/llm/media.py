@@ -103,19 +103,80 @@ class BadStream(ValueError):
     """Bytes that are no such transport stream."""
 
 
-def parse_section(packet: bytes, table: int) -> bytes:
-    """The body of the section that starts in a packet, its CRC checked."""
-    data = packet[5 + packet[4] :]
-    end = 3 + ((data[1] & 0x0F) << 8 | data[2])
-    if data[0] != table or end > len(data) or section_crc(data[:end]):
-        raise BadStream(f"table {table} is damaged")
-    return data[8 : end - 4]
+def payload_starts(a: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins; PACKET for one without payload."""
+    kind = a[:, 3] >> 4 & 3  # 1 payload, 2 adaptation field, 3 both
+    begin = np.where(kind & 2, 5 + a[:, 4].astype(np.int64), 4)
+    if (kind == 0).any() or (begin > PACKET).any():
+        raise BadStream("a packet's adaptation field is damaged")
+    return np.where(kind & 1, begin, PACKET)
+
+
+def parse_section(packets: np.ndarray, begins: np.ndarray, starts: np.ndarray, table: int) -> bytes:
+    """The body of the first whole section of a table on one PID, its CRC checked; it may span packets."""
+    for at in np.flatnonzero(starts & (begins < PACKET)).tolist():
+        data = packets[at, begins[at] :].tobytes()
+        data = data[1 + data[0] :]
+        following = at + 1
+        while len(data) < 3 or len(data) < 3 + ((data[1] & 0x0F) << 8 | data[2]):
+            if following == len(packets) or starts[following]:
+                raise BadStream(f"table {table} is cut off")
+            data += packets[following, begins[following] :].tobytes()
+            following += 1
+        end = 3 + ((data[1] & 0x0F) << 8 | data[2])
+        if data[0] == table:
+            if end < 12 or section_crc(data[:end]):
+                raise BadStream(f"table {table} is damaged")
+            return data[8 : end - 4]
+    raise BadStream(f"no table {table}")
+
+
+def elementary(own: np.ndarray, begins: np.ndarray) -> dict:
+    """payload, units (pts or None, offset, random access), breaks and duplicates of one PID's packets.
+
+    Packets without payload don't count; a packet may be sent twice, and the second is left out. A break
+    is a counter that doesn't follow the last, unless the packet says that it is discontinuous.
+    """
+    has = begins < PACKET
+    own, begins = own[has], begins[has]
+    counter = own[:, 3] & 15
+    field = ((own[:, 3] & 0x20) != 0) & (own[:, 4] > 0)
+    flags = np.where(field, own[:, 5], 0)
+    again = np.zeros(len(own), bool)
+    for i in (np.flatnonzero(counter[1:] == counter[:-1]) + 1).tolist():
+        again[i] = not again[i - 1] and bool((own[i, begins[i] :] == own[i - 1, begins[i] :]).all() and begins[i] == begins[i - 1])
+    own, begins, counter, flags = own[~again], begins[~again], counter[~again].astype(np.int64), flags[~again]
+    breaks = int((((counter[1:] - counter[:-1]) % 16 != 1) & ((flags[1:] & 0x80) == 0)).sum())
+    starts = (own[:, 1] & 0x40) != 0
+    edges = [*np.flatnonzero(starts).tolist(), len(own)]
+    units, parts, offset = [], [], 0
+    for x, y in zip(edges, edges[1:], strict=False):
+        short = np.flatnonzero(begins[x:y] != 4) + x
+        pes, done = [], x
+        for k in short.tolist():
+            if k > done:
+                pes.append(own[done:k, 4:].tobytes())
+            pes.append(own[k, begins[k] :].tobytes())
+            done = k + 1
+        if y > done:
+            pes.append(own[done:y, 4:].tobytes())
+        data = b"".join(pes)
+        length = int.from_bytes(data[4:6], "big")  # 0: up to the next packet
+        if len(data) < 9 or data[:3] != b"\x00\x00\x01" or length and length + 6 != len(data) or data[6] & 0xC0 != 0x80 or len(data) < 9 + data[8]:
+            raise BadStream("an elementary packet is damaged")
+        body = data[9 + data[8] :]
+        units.append((pts_value(data[9:14]) if data[7] & 0x80 else None, offset, bool(flags[x] & 0x40)))
+        parts.append(body)
+        offset += len(body)
+    return {"payload": b"".join(parts), "units": units, "breaks": breaks, "duplicates": int(again.sum())}
 
 
-def demultiplex(stream: bytes) -> dict:
-    """Parse a stream: payload (the elementary stream's bytes), units (pts, offset, random access) and counts.
+def demultiplex(stream: bytes, strict: bool = False) -> dict:
+    """Parse a stream: its programs' elementary streams, each with payload, units (pts, offset, random access) and counts.
 
-    The program tables lead to the elementary stream; continuity counters are checked on its packets.
+    The program tables lead to the elementary streams, whose continuity counters are checked; ``strict``
+    refuses a stream with breaks, since its payload isn't whole. payload and units are those of the
+    first stream of the first program, breaks and duplicates of all; ``elementary`` lists all of them.
     """
     if not stream or len(stream) % PACKET:
         raise BadStream("no whole packets")
@@ -123,50 +184,31 @@ def demultiplex(stream: bytes) -> dict:
     if (a[:, 0] != SYNC).any():
         raise BadStream("a sync byte is missing")
     pid = (a[:, 1] & 0x1F).astype(np.int32) << 8 | a[:, 2]
-    starts = (a[:, 1] & 0x40) != 0
+    begins = payload_starts(a)
 
     def table(p: int, t: int) -> bytes:
-        at = np.flatnonzero((pid == p) & starts)
-        if not len(at):
-            raise BadStream(f"no table {t}")
-        return parse_section(a[at[0]].tobytes(), t)
+        rows = pid == p
+        return parse_section(a[rows], begins[rows], (a[rows, 1] & 0x40) != 0, t)
 
     pat = table(PAT_PID, 0)
     programs = {int.from_bytes(pat[i : i + 2], "big"): int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(0, len(pat), 4)}
-    pmt = table(next(p for n, p in sorted(programs.items()) if n), 2)
-    at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
-    streams = []
-    while at < len(pmt):
-        streams.append((pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
-        at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
-    es = streams[0][1]
-    rows = np.flatnonzero(pid == es)
-    own = a[rows]
-    breaks = int((np.diff((own[:, 3] & 15).astype(np.int16)) % 16 != 1).sum())
-    field = (own[:, 3] & 0x20) != 0
-    begin = np.where(field, 5 + own[:, 4].astype(np.int64), 4)
-    seek = field & (own[:, 4] > 0) & ((own[:, 5] & 0x40) != 0)
-    edges = [*np.flatnonzero(starts[rows]).tolist(), len(own)]
-    units, parts, offset = [], [], 0
-    for x, y in zip(edges, edges[1:], strict=False):
-        special = np.flatnonzero(field[x:y]) + x
-        pes, done = [], x
-        for s in special.tolist():
-            if s > done:
-                pes.append(own[done:s, 4:].tobytes())
-            pes.append(own[s, begin[s] :].tobytes())
-            done = s + 1
-        if y > done:
-            pes.append(own[done:y, 4:].tobytes())
-        data = b"".join(pes)
-        length = int.from_bytes(data[4:6], "big")
-        if data[:3] != b"\x00\x00\x01" or length + 6 != len(data) or data[7] & 0xC0 != 0x80:
-            raise BadStream("an elementary packet is damaged")
-        body = data[9 + data[8] :]
-        units.append((pts_value(data[9:14]), offset, bool(seek[x])))
-        parts.append(body)
-        offset += len(body)
-    return {"payload": b"".join(parts), "units": units, "packets": len(a), "programs": len(programs), "streams": len(streams), "breaks": breaks}
+    found = []
+    for number, at_pid in sorted(programs.items()):
+        if not number:  # the network's own table
+            continue
+        pmt = table(at_pid, 2)
+        at = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
+        while at < len(pmt):
+            p = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+            rows = pid == p
+            found.append({"program": number, "type": pmt[at], "pid": p} | elementary(a[rows], begins[rows]))
+            at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
+    if not found:
+        raise BadStream("no elementary stream")
+    breaks = sum(x["breaks"] for x in found)
+    if strict and breaks:
+        raise BadStream(f"{breaks} continuity errors")
+    return {"payload": found[0]["payload"], "units": found[0]["units"], "packets": len(a), "programs": len([n for n in programs if n]), "streams": len(found), "breaks": breaks, "duplicates": sum(x["duplicates"] for x in found), "elementary": found}
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -205,7 +247,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, n, blob in zip(batch.column("doc_id"), batch.column("n_bytes"), batch.column("media"), strict=True):
             media = blob.as_py()
-            got = demultiplex(media)
+            got = demultiplex(media, strict=True)
             p, units = got["payload"], got["units"]
             rows.append((doc.as_py(), n.as_py(), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(got), len(units), units[0][0], units[-1][0], [o for _, o, s in units if s], got["breaks"]))
         cols = zip(*rows, strict=True) if rows else [[]] * len(_FIELDS)
@@ -213,7 +255,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Parse the media column back: digests of what was stored, timestamps, random-access offsets, features."""
+    """Parse the media column back: digests of what was stored, timestamps, random-access offsets, features.
+
+    A stream that is damaged or has lost packets raises BadStream.
+    """
     return media.mapInArrow(_parse, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, first_pts long, last_pts long, seek_points array<long>, continuity_errors long")
 
 
@@ -226,5 +271,3 @@ def media_columns(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """
     return read_media(to_media(docs, spark))
 
-
-ORACLE_COLUMNS = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
