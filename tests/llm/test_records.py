@@ -5,7 +5,9 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -260,3 +262,116 @@ def test_html_text_of_embedded_elements_becomes_leaves():
         assert found == ["before inside after", "next"]
         assert html_extract.leaves(f"<article><p>one <{tag}>two</p><p>three</p></article>")[-1].text == "three"
     assert [x.text for x in html_extract.leaves("<p>a <script>b</script><style>c</style>d</p>")] == ["a d"]
+
+
+class Article(HTMLParser):
+    """The text blocks of the article element, by the standard library's parser; for pages whose articles hold nothing else."""
+
+    INLINE = ("b", "a", "br", "em", "i")
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.part = False, [], ""
+        self.feed(page)
+        self.close()
+
+    def end(self):
+        if self.part.split():
+            self.blocks.append(" ".join(self.part.split()))
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.part += " "
+        elif tag not in self.INLINE:
+            self.end()
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.end()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.part += data
+
+
+def test_html_extraction_matches_plain_parsing_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r["page_id"]: "\n".join(Article(r["html"]).blocks) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(pages, spark).collect()}
+    assert len(want) > 40 and got == want
+
+
+PROSE = "Here is a paragraph of the article with some more words in it, so that it reads as one. And it goes on for a while."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>Let <math>x</math> be. {PROSE}</p></article>", f"Title\nLet x be. {PROSE}"),
+        (f"<div class='cookie-notice'>We use cookies.</div><main><h2>Head</h2><p>{PROSE}<p>{PROSE} &amp; more</main><footer>&copy; us</footer>", f"Head\n{PROSE}\n{PROSE} & more"),
+        (f"<article><p>{PROSE}</p><noscript><p>{PROSE}</p></noscript><svg><p>{PROSE}</article>", "\n".join([PROSE] * 3)),
+        (f"<article><p>{PROSE}</p></article><div id='comments'><div class='comment'><p>{PROSE}</p></div></div><aside><p>{PROSE}</p></aside>", PROSE),
+        (f"<header><h1>Site</h1></header><article><p>{PROSE}</p><div class='advert'>{PROSE}</div><script>x='</p>'</script><p>{PROSE}</p></article><form><p>Write to us</p></form>", f"{PROSE}\n{PROSE}"),
+    ],
+)
+def test_html_hand_written_pages(body, want):
+    assert html_extract.extract(f"<!DOCTYPE html><html><head><title>T</title></head><body>{body}</body></html>", html_extract.model()) == want
+
+
+def test_html_deep_and_long_pages_take_linear_time():
+    m, took = html_extract.model(), []
+    for n in (5_000, 50_000):
+        began = time.process_time()
+        blocks = html_extract.leaves("<article>" + "<div><i>t " * n + "</i></b></p>" * n)
+        m.viterbi(m.scores(html_extract.features(blocks)))
+        took.append(time.process_time() - began)
+        assert len(blocks) >= n
+    assert took[1] < 30 * max(took[0], 0.1)
+    assert html_extract.extract("<article><p>" + "word " * 300_000, m).count("word") == 300_000
+
+
+def test_ordinal_gradient_matches_finite_differences():
+    """At the fitted optimum without L1 noise, no small change of a weight or threshold raises the likelihood."""
+    rng = np.random.default_rng(3)
+    features = [np.unique(rng.integers(0, 12, 5)) for _ in range(300)]
+    true = rng.normal(0, 1.5, 12)
+    z = np.array([true[f].sum() for f in features]) + rng.logistic(0, 1, 300)
+    grades = np.digitize(z, [-1.0, 1.0])
+    decay = 0.01
+    m = quality_classifier.fit(features, grades, buckets=12, rounds=3000, noise=0.0, decay=decay)
+
+    def likelihood(weights, thresholds):
+        s = np.array([weights[f].sum() for f in features])
+        cdf = np.concatenate([np.zeros((300, 1)), 1 / (1 + np.exp(-(thresholds[None, :] - s[:, None]))), np.ones((300, 1))], 1)
+        p = cdf[np.arange(300), grades + 1] - cdf[np.arange(300), grades]
+        return np.log(p).mean() - decay / 2 * (weights**2).sum()
+
+    assert (np.diff(m.thresholds) > 0).all()
+    for i in range(14):
+        step = np.zeros(14)
+        step[i] = 1e-4
+        up, down = (likelihood(m.weights + k * step[:12], m.thresholds + k * step[12:]) for k in (1, -1))
+        assert abs(up - down) / 2e-4 < 2e-3
+
+
+def test_quality_classifier_special_rows(spark):
+    good, bad = "alpha beta gamma delta", "spam spam junk offer"
+    rows = [(i, good if i % 2 else bad, 1.0, "x") for i in range(60)] + [(1, bad, 1.0, "x"), (1, good, 1.0, "x"), (None, good, 1.0, "x"), (70, None, 1.0, "x"), (71, "", 1.0, "x"), (72, (good + " ") * 40_000, 1.0, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, expected_grade double, kept string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (5, None, 0), (6, 0, None)], "doc_id long, quality int, toxic int")
+    graded = quality_classifier.grades(labels)
+    m = quality_classifier.train(df, graded, spark)
+    assert np.array_equal(m.weights, quality_classifier.train(df.repartition(7), graded, spark).weights)
+    got = quality_classifier.classify(df, m, spark).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["expected_grade"], r["tail_probability"], r["kept"]))
+    assert len(by[1]) == 2 and by[70] == by[71] and by[3] == by[None]
+    assert {k for _, _, k in by[3]} == {True} and {k for _, _, k in by[2]} == {False}
+    assert quality_classifier.classify(df.limit(0), m, spark).count() == 0
+    flat = quality_classifier.train(df.limit(0), graded, spark)
+    assert not flat.weights.any() and (np.diff(flat.thresholds) > 0).all()

@@ -39,7 +39,7 @@ def spark_hash(*parts):
 
 
 def grams(text):
-    ends = [w[-3:] for w in WORD.findall(text or "")]
+    ends = WORD.findall(text or "")
     return [spark_hash(a) % quality_rules.BUCKETS for a in ends] + [spark_hash(a, b) % quality_rules.BUCKETS for a, b in zip(ends, ends[1:])]
 
 

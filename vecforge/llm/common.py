@@ -20,7 +20,7 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 find_words = re.compile(WORD).findall
 
 #: Bounds of one Arrow batch handed to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
 #: A key is hot with more than a HOT_SHARE-th of the rows, and with HOT_ROWS at least.
 HOT_SHARE, HOT_ROWS = 1000, 1000
@@ -69,7 +69,7 @@ def raw(value: pa.StringScalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def pieces(values: pa.Array, size: int = 4 << 20):
+def pieces(values: pa.Array, size: int = 2 << 20):
     """(first row, UTF-8 texts) of runs of rows with about so many bytes; null is empty."""
     rows, begin, total = [], 0, 0
     for i, v in enumerate(values):

@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
     copies is floor(rate) plus a Bernoulli copy with the fraction as its probability, where rate is
     target / source_size. The draw is a hash of seed and doc_id, so reruns, other partitionings and
-    repeated rows agree; rows without a doc_id share one draw per source. A null text has size 0, and a
+    repeated rows agree; rows without a doc_id draw by their text. A null text has size 0, and a
     source of size 0 copies nothing. An empty table gives an empty one. Columns of these names that
     ``docs`` already has are replaced.
 
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies", "__source")]
     sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
     plan = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "__source")
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("source")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("__source")))
@@ -84,7 +84,7 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 ORACLE = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents
 ), named AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place
   FROM sized GROUP BY source
@@ -101,7 +101,7 @@ WITH sized AS (
   FROM stopped
 ), rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    CAST(CAST('0x' || substr(md5(concat_ws(':', '{SEED}', CAST(doc_id AS VARCHAR), CASE WHEN doc_id IS NULL THEN s.source END)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
+    CAST(CAST('0x' || substr(md5(concat_ws(':', '{SEED}', CAST(doc_id AS VARCHAR), CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated

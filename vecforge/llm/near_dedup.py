@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 #: Bands and coordinates per band: a pair at similarity 0.8 shares none with probability 3e-5.
 BANDS, ROWS = 20, 4
 #: Pairs of one centre that a part of it takes, at least.
-PART_ROWS = 256
+PART_ROWS = 64
 #: 64-bit words of a document's parity, by which most pairs that meet are told apart before any text is read.
 PARITY = 8
 POST = "u long, v long, posts array<struct<token: long, role: long>>, label long, size long, " + ", ".join(f"p{k} long" for k in range(PARITY))

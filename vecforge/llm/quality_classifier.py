@@ -134,12 +134,16 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, graded: DataFrame, spark: SparkSession, max_labelled: int = MAX_LABELLED) -> Ordinal:
     """Fit on documents that ``graded`` (doc_id, grade) rates; the sample is bounded and deterministic.
 
-    At most ``max_labelled`` ids are broadcast, and as many rows of distinct feature numbers come to the driver.
+    At most ``max_labelled`` ids are broadcast, and as many rows of distinct feature numbers come to the
+    driver: of rows that share an id, the text of smallest hash counts. Of several grades of an id, the
+    lowest counts. Rows without id, grade or document are left out.
     """
     prepare(spark)
     some = graded.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.min("grade").cast("int").alias("grade")).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "grade", "text").mapInArrow(_hash_rows, "doc_id long, grade int, features array<int>").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")[: 2 * max_labelled]
+    rated = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    one = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInArrow(_hash_rows, "doc_id long, grade int, features array<int>").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     lists = rows.column("features").combine_chunks()
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     return fit([values[offsets[i] : offsets[i + 1]].astype(np.int64) for i in order], rows.column("grade").to_numpy()[order])

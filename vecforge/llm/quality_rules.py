@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from vecforge.llm.common import SPACE, SPACE_CHARS, WORD
 
 #: Hash buckets of the two multinomials; the fitted table has this many rows at any corpus size.
-BUCKETS = 1 << 14
-#: The same where n-grams are of whole words, of which there are more.
-WHOLE_BUCKETS = 1 << 18
+BUCKETS = 1 << 18
 #: The target is counted over at most this many labelled documents (those with the smallest hashed ids).
 MAX_TRUSTED = 1 << 16
 #: Counts that each bucket gets beforehand on both sides; rare buckets stay near a ratio of 1.
@@ -70,19 +68,16 @@ def base(text: Column, words: Column) -> Column:
     )
 
 
-def grams(words: Column, buckets: int, whole: bool = False) -> Column:
-    """Buckets of a text's n-grams: each word and each two neighbours, whole or by their last three characters."""
+def grams(words: Column, buckets: int) -> Column:
+    """Buckets of a text's n-grams: each word and each two neighbours."""
     modulus = F.lit(buckets).cast("long")
+    one = F.transform(words, lambda a: F.pmod(F.xxhash64(a), modulus).cast("int"))
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    two = F.transform(F.arrays_zip(F.slice(words, 1, most).alias("a"), F.slice(words, 2, most).alias("b")), lambda p: F.pmod(F.xxhash64(p["a"], p["b"]), modulus).cast("int"))
+    return F.concat(one, two)
 
-    def both(ends: Column) -> Column:
-        one = F.transform(ends, lambda a: F.pmod(F.xxhash64(a), modulus).cast("int"))
-        two = F.transform(F.arrays_zip(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))).alias("a"), F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))).alias("b")), lambda p: F.pmod(F.xxhash64(p["a"], p["b"]), modulus).cast("int"))
-        return F.concat(one, two)
 
-    return both(words) if whole else bound(F.transform(words, lambda w: F.right(w, F.lit(3))), both)
-
-
-def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR, whole: bool = False) -> list[float]:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR) -> list[float]:
     """The log ratio of each bucket.
 
     One pass over all documents counts the n-grams of the corpus and, among them, those of the trusted
@@ -91,12 +86,11 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_trus
     ``max_trusted`` longs, which is what bounds their broadcast. Without any trusted document every
     ratio is 0.
     """
-    buckets = buckets or (WHOLE_BUCKETS if whole else BUCKETS)
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_trusted).withColumn("__trusted", F.lit(1))
     counted = (
         docs.select("doc_id", words_of(F.col("text")).alias("__words"))
         .join(F.broadcast(trusted), F.col("doc_id") == F.col("__id"), "left")
-        .select(F.explode(grams(F.col("__words"), buckets, whole)).alias("bucket"), F.coalesce("__trusted", F.lit(0)).cast("long").alias("t"))
+        .select(F.explode(grams(F.col("__words"), buckets)).alias("bucket"), F.coalesce("__trusted", F.lit(0)).cast("long").alias("t"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
         .collect()
@@ -108,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_trus
     return [math.log((target.get(b, 0) + prior) / (raw.get(b, 0) * part + prior)) for b in range(buckets)]
 
 
-def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, whole: bool = False) -> DataFrame:
+def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base columns, llr (mean log ratio per n-gram; 0 without any) and kept.
 
     All of it is one expression that binds the words, so that no rewrite (a filter pushed below, a
@@ -122,18 +116,17 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, wh
         failed = (x["b"]["n_words"] < MIN_WORDS) | (100 * x["b"]["n_repeat_words"] > MAX_REPEAT_PERCENT * x["b"]["n_words"])
         return F.struct(*[x["b"][c].alias(c) for c in BASE], failed.alias("base_failed"), x["llr"].alias("llr"), (~failed & (x["llr"] >= F.lit(threshold))).alias("kept"))
 
-    judged = bound(words_of(F.col("text")), lambda w: bound(F.struct(base(text, w).alias("b"), bound(grams(w, len(ratios), whole), total).alias("llr")), verdict))
+    judged = bound(words_of(F.col("text")), lambda w: bound(F.struct(base(text, w).alias("b"), bound(grams(w, len(ratios)), total).alias("llr")), verdict))
     names = [*BASE, "base_failed", "llr", "kept"]
     return docs.withColumn("__verdict", judged).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col("__verdict")[c].alias(c) for c in names])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, whole: bool = False, **params) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    ``whole`` compares whole words and pairs of them, not just their endings; the registered queries do.
     A null text has no words and fails the base rules, as an empty one does. Repeated rows are each
     judged and counted; rows without a doc_id are never trusted. An empty table gives an empty one.
     Columns of these names that ``docs`` already has are replaced. Nothing but bucket counts is shuffled.
     """
     threshold = params.pop("threshold", THRESHOLD)
-    return judge(docs, fit(docs, labels, whole=whole, **params), threshold, whole)
+    return judge(docs, fit(docs, labels, **params), threshold)
