@@ -3,8 +3,6 @@ target and the raw corpus. DataFrame expressions only."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted:
 
     One pass over all documents counts the n-grams of the corpus and, among them, those of the trusted
     target: documents that the labels rate 1 in quality. Counts are summed map-side, so each task sends
-    one row per bucket at most, and the driver gets ``buckets`` rows. The target's ids are at most
-    ``max_trusted`` longs, which is what bounds their broadcast. Without any trusted document every
-    ratio is 0.
+    one row per bucket at most. The ratios are computed in Spark and come to the driver as one string of
+    ``buckets`` numbers. The target's ids are at most ``max_trusted`` longs, which is what bounds their
+    broadcast. Without any trusted document every ratio is 0.
     """
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_trusted).withColumn("__trusted", F.lit(1))
     counted = (
@@ -93,13 +91,12 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted:
         .select(F.explode(grams(F.col("__words"), buckets)).alias("bucket"), F.coalesce("__trusted", F.lit(0)).cast("long").alias("t"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-        .collect()
     )
-    raw, target = {r["bucket"]: r["raw"] for r in counted}, {r["bucket"]: r["target"] for r in counted}
-    part = sum(target.values()) / max(1, sum(raw.values()))
-    if not part:
-        return [0.0] * buckets
-    return [math.log((target.get(b, 0) + prior) / (raw.get(b, 0) * part + prior)) for b in range(buckets)]
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
+    table = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("rows"))
+    ratio = lambda r: F.ln((r["target"] + F.lit(prior)) / (r["raw"] * (F.col("targets") / F.col("raws")) + F.lit(prior)))
+    text = table.select(F.when(F.col("targets") > 0, F.array_join(F.transform("rows", lambda r: ratio(r).cast("string")), ",")).alias("text")).first()["text"]
+    return list(map(float, text.split(","))) if text else [0.0] * buckets
 
 
 def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
