@@ -26,7 +26,7 @@ def plain_quality(rows, trusted):
         if i in trusted:
             target.update(g)
     share = sum(target.values()) / sum(raw.values())
-    ratio = lambda b: math.log((target[b] + quality_rules.PRIOR) / (raw[b] * share + quality_rules.PRIOR))
+    ratio = lambda b: round(math.log((target[b] + quality_rules.PRIOR) / (raw[b] * share + quality_rules.PRIOR)), 3)
     mean = {i: sum(map(ratio, g)) / max(1, len(g)) for i, g in grams.items()}
     return {r["doc_id"] for r in rows if not base(r["text"])[5] and mean[r["doc_id"]] >= quality_rules.THRESHOLD}
 

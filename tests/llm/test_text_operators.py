@@ -60,7 +60,7 @@ def test_quality_rules_match_plain_python(spark):
         if i in trusted:
             target.update(grams(t))
     part = sum(target.values()) / sum(raw.values())
-    ratio = {b: math.log((target[b] + quality_rules.PRIOR) / (raw[b] * part + quality_rules.PRIOR)) for b in raw}
+    ratio = {b: round(math.log((target[b] + quality_rules.PRIOR) / (raw[b] * part + quality_rules.PRIOR)), 3) for b in raw}
     by_text = {t: (base(t), sum(ratio[b] for b in grams(t)) / max(1, len(grams(t)))) for _, t in rows}
     for r in got.collect():
         want, llr = by_text[r["text"]]

@@ -14,6 +14,8 @@ BUCKETS = 1 << 18
 MAX_TRUSTED = 1 << 16
 #: Counts that each bucket gets beforehand on both sides; rare buckets stay near a ratio of 1.
 PRIOR = 5.0
+#: Decimals of a bucket's log ratio; the table is part of the plan, so its length counts.
+DECIMALS = 3
 #: Mean log ratio per n-gram under which a document goes.
 THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
@@ -76,7 +78,7 @@ def grams(words: Column, buckets: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, prior: float = PRIOR) -> list[float]:
-    """The log ratio of each bucket.
+    """The log ratio of each bucket, to DECIMALS decimals.
 
     One pass over all documents counts the n-grams of the corpus and, among them, those of the trusted
     target: documents that the labels rate 1 in quality. Counts are summed map-side, so each task sends
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted:
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
     table = every.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"), F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("rows"))
     ratio = lambda r: F.ln((r["target"] + F.lit(prior)) / (r["raw"] * (F.col("targets") / F.col("raws")) + F.lit(prior)))
-    text = table.select(F.when(F.col("targets") > 0, F.array_join(F.transform("rows", lambda r: ratio(r).cast("string")), ",")).alias("text")).first()["text"]
+    text = table.select(F.when(F.col("targets") > 0, F.array_join(F.transform("rows", lambda r: F.round(ratio(r), DECIMALS).cast("string")), ",")).alias("text")).first()["text"]
     return list(map(float, text.split(","))) if text else [0.0] * buckets
 
 
@@ -105,7 +107,7 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     All of it is one expression that binds the words, so that no rewrite (a filter pushed below, a
     projection merged) repeats the splitting for each word.
     """
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(f"{x:g}" for x in ratios)), ",").cast("array<double>")
     total = lambda g: F.aggregate(g, F.lit(0.0), lambda t, b: t + F.get(table, b)) / F.greatest(F.size(g), F.lit(1))
     text = F.coalesce(F.col("text"), F.lit(""))
 
