@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +65,13 @@ HASHES = {"fowler_noll_vo": fnv1a, "murmur3": murmur3, "rrxmrrxmsx0": rrxmrrxmsx
 
 
 def partition_hash(key: Column, parts: int, kind: str = "fowler_noll_vo") -> Column:
-    """The partition of a key under an unsigned 64-bit hash (Arrow batches: SQL arithmetic can't wrap)."""
+    """The partition of a key under an unsigned 64-bit hash (Arrow batches: SQL arithmetic can't wrap); null stays null."""
     mask, fn = np.uint64(_power_of_two(parts)), HASHES[kind]
 
-    @F.pandas_udf("long")
-    def run(k: pd.Series) -> pd.Series:
-        return pd.Series((fn(k.to_numpy(np.int64).view(np.uint64)) & mask).astype(np.int64))
+    @F.arrow_udf("long")
+    def run(k: pa.Array) -> pa.Array:
+        hashed = fn(k.fill_null(0).to_numpy().view(np.uint64)) & mask
+        return pa.array(hashed.astype(np.int64), mask=k.is_null().to_numpy(zero_copy_only=False))
 
     return run(key.cast("long"))
 

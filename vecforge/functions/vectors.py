@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,11 +85,15 @@ def through(v: Column, kind: str) -> Column:
     """A vector's values as a narrow float type (float16, bfloat16, e4m3, e5m2) holds them."""
     fn = _through(kind)
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else fn(np.asarray(a, np.float32)))
+    @F.arrow_udf("array<float>")
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()  # of all rows at once
+        values = pa.array(fn(flat.fill_null(0).to_numpy(zero_copy_only=False)), pa.float32(), mask=flat.is_null().to_numpy(zero_copy_only=False))
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
-    return run(v)
+    return run(v.cast("array<float>"))
 
 
 def decode_float16(bits: Column) -> Column:

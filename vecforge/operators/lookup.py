@@ -31,13 +31,12 @@ def lookup_dense(table: Table, rows: int, requests: DataFrame, default_row: int
 def cascade(tables: Sequence[Table], requests: DataFrame) -> DataFrame:
     """``requests`` with vec and tier: the first table that has the key, null if none does.
 
-    Each tier joins all requests but only unresolved ones carry a key, so a resolved row joins nothing.
+    Each tier joins all requests by key, which keeps them dealt out, but only unresolved ones match.
     """
     out = requests.withColumn("vec", F.lit(None).cast(tables[0].df.schema["vec"].dataType)).withColumn("tier", F.lit(None).cast("int"))
     for i, t in enumerate(tables):
         side = t.df.select(F.col("key").alias("__key"), F.col("vec").alias("__vec"))
-        want = F.when(F.col("tier").isNull() & (F.col("key") != t.invalid_key), F.col("key"))
-        out = out.withColumn("__want", want).join(side, F.col("__want") == F.col("__key"), "left").withColumn("vec", F.coalesce("vec", "__vec")).withColumn("tier", F.coalesce("tier", F.when(F.col("__key").isNotNull(), F.lit(i)))).drop("__want", "__key", "__vec")
+        out = out.join(side, (F.col("key") == F.col("__key")) & F.col("tier").isNull() & (F.col("key") != t.invalid_key), "left").withColumn("vec", F.coalesce("vec", "__vec")).withColumn("tier", F.coalesce("tier", F.when(F.col("__key").isNotNull(), F.lit(i)))).drop("__key", "__vec")
     return out
 
 

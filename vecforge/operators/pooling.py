@@ -29,12 +29,11 @@ def csr_bags(offsets: DataFrame) -> DataFrame:
 
 
 def check_offsets(offsets: DataFrame, n: int) -> None:
-    """Raise ValueError unless offsets start at 0, never fall, join up and end at n."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("bag")
-    row = offsets.withColumn("__prev", F.lag("off_end").over(w)).agg(F.min("off_start"), F.max("off_end"), F.count_if(F.col("off_end") < F.col("off_start")), F.count_if(F.col("__prev") != F.col("off_start"))).first()
-    if row[0] is None or row[0] != 0 or row[1] != n or row[2] or row[3]:
+    """Raise ValueError unless offsets (bag: consecutive numbers) start at 0, never fall, join up and end at n."""
+    before = offsets.select((F.col("bag") + 1).alias("bag"), F.col("off_end").alias("__prev"))
+    joined = offsets.join(before, "bag", "left")
+    row = joined.agg(F.min("off_start"), F.max("off_end"), F.count_if(F.col("off_end") < F.col("off_start")), F.count_if(F.col("__prev") != F.col("off_start")), F.count_if(F.col("__prev").isNull()), F.count_if(F.col("off_start").isNull() | F.col("off_end").isNull())).first()
+    if row[0] != 0 or row[1] != n or row[2] or row[3] or row[4] != 1 or row[5]:
         raise ValueError("offsets must start at 0, not fall, and end at the number of keys")
 
 

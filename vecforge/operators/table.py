@@ -38,9 +38,12 @@ class Table:
 
         The invalid key is a miss. The join is left to the planner: it broadcasts a small side and merges two large ones.
         """
-        wanted = F.when((F.col("key") == self.invalid_key) | (F.col(resolved) if resolved else F.lit(False)), None).otherwise(F.col("key"))
+        skip = F.col("key") == self.invalid_key
+        if resolved:
+            skip |= F.coalesce(F.col(resolved), F.lit(False))
         side = self.df.select(F.col("key").alias("__key"), "vec")
-        return requests.withColumn("__want", wanted).join(side, F.col("__want") == F.col("__key"), "left").withColumn("hit", F.col("__key").isNotNull()).drop("__want", "__key")
+        # rows to skip keep their keys, so they are dealt out as the others and don't meet in one task
+        return requests.join(side, (F.col("key") == F.col("__key")) & ~skip, "left").withColumn("hit", F.col("__key").isNotNull()).drop("__key")
 
     def exists(self, requests: DataFrame) -> DataFrame:
         return requests.join(self.df.select("key"), "key", "left_semi")
@@ -65,9 +68,13 @@ class Table:
         return self._with(self.df.join(new, "key", "left").withColumn("vec", F.coalesce("__new", "vec")))
 
     def accumulate(self, rows: DataFrame) -> Table:
-        """Add to resident keys only; equal keys add up. A shorter row adds to the first elements."""
+        """Add to resident keys only, in double, kept in the table's type; equal keys add up. A shorter row adds to the first elements."""
         added = sum_vectors(rows, ["key"], self.dim).withColumnRenamed("vec", "__add")
-        return self._with(self.df.join(added, "key", "left").withColumn("vec", F.when(F.col("__add").isNull(), F.col("vec").cast("array<double>")).otherwise(vectors.add(F.col("vec"), F.col("__add")))))
+        return self._with(self.df.join(added, "key", "left").withColumn("vec", F.when(F.col("__add").isNull(), F.col("vec")).otherwise(vectors.add(F.col("vec"), F.col("__add")).cast(self.df.schema["vec"].dataType))))
+
+    def accumulate_quantized(self, rows: DataFrame, affine: bool = False) -> Table:
+        """:meth:`accumulate` of rows (key, q, scale[, offset]) of narrow integers."""
+        return self.accumulate(rows.select("key", vectors.dequantize(F.struct("q", "scale", *(["offset"] if affine else [])), affine).alias("vec")))
 
     def erase(self, keys: DataFrame) -> Table:
         return self._with(self.df.join(keys.select("key"), "key", "left_anti"))
@@ -108,16 +115,19 @@ def evict(df: DataFrame, margin: int, keep_share: float, policy: str, partitions
     """In partitions (key modulo) of more than ``margin`` rows, keep the best floor(margin * keep_share).
 
     LRU and LFU keep the largest metas, smaller keys first among equals; random keeps the smallest of a key
-    hash. LFU halves the metas of survivors of a partition that evicted.
+    hash. LFU halves the metas of survivors of a partition that evicted. lfu_store is the rule of the
+    key-value store: the smallest (meta, key) go first, and survivors lose half their meta, rounded down.
     """
-    order = {"lru": F.col("meta").desc(), "lfu": F.col("meta").desc(), "random": F.pmod(F.col("key") * F.lit(seed), F.lit(1 << 32))}
+    order = {"lru": F.col("meta").desc(), "lfu": F.col("meta").desc(), "lfu_store": F.col("meta").desc(), "random": F.pmod(F.col("key") * F.lit(seed), F.lit(1 << 32))}
     if policy not in order:
         raise ValueError(f"no eviction policy {policy!r}")
     part = F.pmod("key", F.lit(partitions))
     w = Window.partitionBy("__part")
-    ranked = df.withColumn("__part", part).withColumn("__n", F.count("*").over(w)).withColumn("__rank", F.row_number().over(w.orderBy(order[policy], "key")))
+    ranked = df.withColumn("__part", part).withColumn("__n", F.count("*").over(w)).withColumn("__rank", F.row_number().over(w.orderBy(order[policy], F.col("key").desc() if policy == "lfu_store" else F.col("key"))))
     over = F.col("__n") > margin
     kept = ranked.filter(~over | (F.col("__rank") <= int(margin * keep_share)))
     if policy == "lfu":
         kept = kept.withColumn("meta", F.when(over, F.shiftright("meta", 1)).otherwise(F.col("meta")))
+    if policy == "lfu_store":
+        kept = kept.withColumn("meta", F.when(over, F.col("meta") - F.shiftright(F.greatest("meta", F.lit(0)), 1)).otherwise(F.col("meta")))
     return kept.drop("__part", "__n", "__rank")

@@ -33,3 +33,10 @@ def alpha_of_pareto(share: float, rows: int) -> float:
         mass = (((share * rows) ** g - 1) / (rows**g - 1)) if abs(g) > 1e-9 else 1.0
         lo, hi = (mid, hi) if mass < 1 - share else (lo, mid)
     return (lo + hi) / 2
+
+
+def initial_rows(spark: SparkSession, n: int, dim: int, value: float | None = None, seed: int = 31337) -> DataFrame:
+    """(key, vec) of the keys 0 .. n - 1: all elements ``value``, or uniform in [0, 1) by a hash of seed, key and place."""
+    draw = lambda i: F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    vec = F.array_repeat(F.lit(float(value)), dim) if value is not None else F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), draw)
+    return spark.range(n).select(F.col("id").alias("key"), vec.cast("array<float>").alias("vec"))

@@ -27,8 +27,15 @@ class EmbeddingLayer:
         found = lookup.cascade(self.tables, requests)
         return found if self.default is None else lookup.fill_default(found, self.default)
 
-    def lookup(self, requests: DataFrame, mode: str = "concat", bags: DataFrame | None = None) -> DataFrame:
+    def lookup(self, requests: DataFrame, mode: str = "concat", bags: DataFrame | None = None, offsets: DataFrame | None = None) -> DataFrame:
+        """Pooled rows of requests (pos, key, bag[, weight]); with ``offsets`` (bag, off_start, off_end) the bags come from pos.
+
+        Offsets are checked against the number of requests, and empty bags get the zero row.
+        """
         pooling.check(mode, "weight" in requests.columns)
+        if offsets is not None:
+            pooling.check_offsets(offsets, requests.count())
+            requests, bags = requests.drop("bag").join(pooling.csr_bags(offsets), "pos"), offsets.select("bag") if bags is None else bags
         return pooling.pool(self.find(requests), mode, self.dim, bags)
 
     def hit_rates(self, requests: DataFrame) -> DataFrame:

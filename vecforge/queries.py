@@ -19,7 +19,9 @@ from vecforge.functions import keys, vectors
 from vecforge.operators import dedup, lookup, pooling, setcache
 from vecforge.operators.lookup import digest
 from vecforge.operators.table import Table, evict
-from vecforge.plans import layers
+from vecforge.operators.counters import LookupCounter
+from vecforge.plans import datagen, layers
+from vecforge.sources.files import import_pairs
 
 DIM = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +48,11 @@ def embeddings(spark: SparkSession, sf: str, **options) -> Table:
     return Table.of(read(spark, sf, "embeddings"), "vec_id", "embedding", DIM, **options)
 
 
+def doubles(spark: SparkSession, sf: str) -> Table:
+    """The table with rows of doubles."""
+    return Table.of(read(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", DIM)
+
+
 def events(spark: SparkSession, sf: str, times: int = 1) -> DataFrame:
     return read(spark, sf, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") * times).alias("key"))
 
@@ -189,7 +196,7 @@ def _(s, d):
 @query("sgd_step", f"WITH g AS (SELECT key, 0.01 / 7 * sum((bag % 13) * 1.0) AS g FROM {ITEMS} GROUP BY 1) SELECT t.key, round(list_sum(v) - 2080 * coalesce(g, 0), 5) AS total, round(v[1] - coalesce(g, 0), 5) AS e0, round(v[18] - 18 * coalesce(g, 0), 5) AS e17, round(v[64] - 64 * coalesce(g, 0), 5) AS e63 FROM {T} t LEFT JOIN g ON t.key = g.key")
 def _(s, d):
     rows = items(s, d)
-    return layers.sgd(embeddings(s, d), rows, gradients(rows, "bag"), "sum", 0.01).df.select("key", *digest())
+    return layers.sgd(doubles(s, d), rows, gradients(rows, "bag"), "sum", 0.01).df.select("key", *digest())
 
 
 @query("pool_sum_bags", f"SELECT bag, {agg()} FROM {ITEMS} e JOIN {T} t ON e.key = t.key GROUP BY 1")
@@ -290,7 +297,20 @@ def _(s, d):
 
 @query("table_accumulate", changed("list_sum(v) + coalesce(added, 0) * 64", "v[] + coalesce(added, 0)", "LEFT"))
 def _(s, d):
-    return embeddings(s, d).accumulate(changes(s, d)).df.select("key", *digest())
+    return doubles(s, d).accumulate(changes(s, d)).df.select("key", *digest())
+
+
+@query("table_accumulate_quantized", f"WITH u AS (SELECT user_id * 7 AS key, sum((event_id % 97 - 48) * 0.5) AS added FROM events GROUP BY 1) SELECT t.key, " + ", ".join([f"round(list_sum(v) + {DIM} * coalesce(added, 0), 5) AS total", *[f"round(v[{i}] + coalesce(added, 0), 5) AS {n}" for i, n in PLACES]]) + f" FROM {T} t LEFT JOIN u ON t.key = u.key")
+def _(s, d):
+    rows = events(s, d, 7).select("key", F.array_repeat((F.col("pos") % 97 - 48).cast("short"), DIM).alias("q"), F.lit(0.5).alias("scale"))
+    return doubles(s, d).accumulate_quantized(rows).df.select("key", *digest())
+
+
+@query("table_insert_capacity", f"WITH a AS (SELECT coalesce(t.key, u.key) AS key, coalesce(u.x * 64, list_sum(v)) AS total FROM {T} t FULL JOIN {LAST} u ON t.key = u.key), r AS (SELECT *, count(*) OVER (PARTITION BY key % 8) AS n, row_number() OVER (PARTITION BY key % 8 ORDER BY key) AS rn FROM a) SELECT key, round(total, 5) AS total FROM r WHERE n <= 40 OR rn <= 32")
+def _(s, d):
+    """Beyond 40 rows a partition keeps 32; all metas are equal, so smaller keys stay."""
+    table = embeddings(s, d, capacity=40, partitions=8, policy="lru").insert(changes(s, d))
+    return table.df.select("key", digest()[0])
 
 
 @query("table_erase", f"SELECT key, {dig()} FROM {T} WHERE key NOT IN (SELECT user_id * 7 FROM events)")
@@ -300,7 +320,50 @@ def _(s, d):
 
 @query("table_size", "SELECT count(*) AS size FROM embeddings")
 def _(s, d):
-    return embeddings(s, d).df.agg(F.count("*").alias("size"))
+    return s.createDataFrame([(embeddings(s, d).size(),)], "size long")
+
+
+@query("lookup_counters", f"SELECT 2 * count(*) AS requests, 2 * count_if(key * 5 IN (SELECT vec_id FROM embeddings)) AS hits FROM {EVENTS}")
+def _(s, d):
+    """Two lookups counted as they run."""
+    counter = LookupCounter(embeddings(s, d))
+    for _ in range(2):
+        counter.find(events(s, d, 5)).write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([counter.get()], "requests long, hits long")
+
+
+@query("initial_rows", "SELECT r.k AS key, 16.0 AS total, 0.25 AS e0, 0.25 AS e17, 0.25 AS e63 FROM (SELECT max(event_id) + 1 AS n FROM events) m, range(0, 10000000) r(k) WHERE k < n")
+def _(s, d):
+    n = read(s, d, "events").agg(F.max("event_id")).first()[0] + 1
+    return datagen.initial_rows(s, n, DIM, 0.25).select("key", *digest())
+
+
+@query("import_pairs", "SELECT vec_id AS pos, vec_id * 3 AS key, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings")
+def _(s, d):
+    """Keys and rows as two row-numbered files give them, joined by row."""
+    t = read(s, d, "embeddings").withColumnRenamed("vec_id", "row")
+    keys_, rows = t.select("row", F.array(F.col("row") * 3).alias("vec")), t.select("row", F.col("embedding").alias("vec"))
+    return import_pairs(keys_, rows).select("pos", "key", digest()[0])
+
+
+@query("layer_dense", f"SELECT bag, {agg()} FROM (SELECT l_orderkey AS bag, l_partkey AS key FROM lineitem) e JOIN {T} t ON CASE WHEN e.key < 300 THEN e.key ELSE 3 END = t.key GROUP BY 1")
+def _(s, d):
+    layer = layers.DenseLayer(embeddings(s, d), 300, 3)
+    return layer.insert(changes(s, d)).erase(events(s, d)).clear().lookup(items(s, d), "sum").select("bag", *digest())
+
+
+@query("layer_promote", f"SELECT event_id AS pos, user_id AS key, CASE WHEN t.key IS NULL THEN NULL WHEN user_id % 3 = 0 OR user_id < 100 THEN 0 ELSE 1 END AS tier FROM events LEFT JOIN {T} t ON t.key = user_id")
+def _(s, d):
+    """A cache of every third row, to which the keys under 100 that were asked for are promoted."""
+    t = read(s, d, "embeddings")
+    layer = layers.CachedLayer(Table.of(t.filter("vec_id % 3 = 0"), "vec_id", "embedding", DIM), Table.of(t, "vec_id", "embedding", DIM))
+    return layer.promote(events(s, d).filter("key < 100")).find(events(s, d)).select("pos", "key", "tier")
+
+
+@query("layer_csr_lookup", f"SELECT o.bag, {agg()} FROM {CSR} o LEFT JOIN (SELECT pos, e.key, v FROM {EVENTS} e JOIN {T} t ON e.key = t.key) x ON x.pos >= off_start AND x.pos < off_end GROUP BY 1")
+def _(s, d):
+    """A layer's lookup with offsets, which are checked first."""
+    return layers.HostLayer(embeddings(s, d), vectors.constant(0, DIM)).lookup(events(s, d), "sum", offsets=_offsets(s, d)).select("bag", *digest())
 
 
 @query("table_clear", "SELECT vec_id AS key FROM embeddings WHERE false")
@@ -397,9 +460,10 @@ def _(s, d):
     return pooling.pool(Table.of(t, "key", "vec", DIM).find(items(s, d)).filter("hit"), "sum", DIM).select("bag", *digest())
 
 
-@query("codec_float16_decode", "SELECT b AS bits, CASE WHEN (b >> 10) & 31 = 0 THEN (b & 1023) * pow(2.0, -24) ELSE (1 + (b & 1023) / 1024.0) * pow(2.0, ((b >> 10) & 31) - 15) END * CASE WHEN b >= 32768 THEN -1 ELSE 1 END AS value FROM range(0, 65536) r(b) WHERE (b >> 10) & 31 <> 31")
+@query("codec_float16_decode", "SELECT b AS bits, (b >> 10) & 31 = 31 AND b & 1023 <> 0 AS is_nan, CASE WHEN (b >> 10) & 31 = 0 THEN (b & 1023) * pow(2.0, -24) ELSE (1 + (b & 1023) / 1024.0) * pow(2.0, ((b >> 10) & 31) - 15) END * CASE WHEN b >= 32768 THEN -1 ELSE 1 END AS value FROM range(0, 65536) r(b) ".replace("CASE WHEN (b >> 10) & 31 = 0", "CASE WHEN (b >> 10) & 31 = 31 THEN CASE WHEN b & 1023 = 0 THEN CAST('inf' AS DOUBLE) END WHEN (b >> 10) & 31 = 0"))
 def _(s, d):
-    return s.range(65536).select(F.col("id").alias("bits")).filter(F.shiftright("bits", 10).bitwiseAND(31) != 31).withColumn("value", vectors.decode_float16(F.col("bits")))
+    value = vectors.decode_float16(F.col("bits"))
+    return s.range(65536).select(F.col("id").alias("bits")).select("bits", F.when(~F.isnan(value), value).alias("value"), F.isnan(value).alias("is_nan"))
 
 
 # --- eviction and the set-associative cache
@@ -423,6 +487,11 @@ def _(s, d):
     return evict(_metas(s, d, F.count("*")), 5, 0.8, "lfu", 2).select("key", "meta")
 
 
+@query("evict_lfu_store", evicted("count(*)", "meta DESC, key DESC", "meta - (meta >> 1)"))
+def _(s, d):
+    return evict(_metas(s, d, F.count("*")), 5, 0.8, "lfu_store", 2).select("key", "meta")
+
+
 @query("evict_hash_random", evicted("count(*)", "(key * 2654435761) % 4294967296"))
 def _(s, d):
     return evict(_metas(s, d, F.count("*")), 5, 0.8, "random", 2).select("key", "meta")
@@ -433,10 +502,10 @@ def _(s, d):
     return items(s, d).select("key", setcache.set_of(F.col("key"), 61).alias("set"), setcache.tag_of(F.col("key"), 61).alias("tag"))
 
 
-def _cache(s: SparkSession, d: str) -> DataFrame:
-    """4 sets of 8 ways; way w of set s holds key 4 w + s, but every third way is free."""
+def _cache(s: SparkSession, d: str, sets: int = 4) -> DataFrame:
+    """Sets of 8 ways; way w of set s holds key 4 w + s, but every third way is free."""
     key = F.col("way") * 4 + F.col("set")
-    return setcache.empty(s, 4).withColumn("key", F.when(F.col("way") % 3 != 0, key)).withColumn("counter", F.when(F.col("way") % 3 != 0, F.col("way") / 64.0).otherwise(0.0))
+    return setcache.empty(s, sets).withColumn("key", F.when(F.col("way") % 3 != 0, key)).withColumn("counter", F.when(F.col("way") % 3 != 0, F.col("way") / 64.0).otherwise(0.0))
 
 
 CACHE = "(SELECT set, way, CASE WHEN way % 3 <> 0 THEN way * 4 + set END AS key, CASE WHEN way % 3 <> 0 THEN way / 64.0 ELSE 0.0 END AS counter FROM range(0, 4) a(set), range(0, 8) b(way))"
@@ -456,15 +525,31 @@ def _(s, d):
     return setcache.insert(_cache(s, d), cand, 4).withColumn("counter", F.round("counter", 6))
 
 
-@query("cache_decay", f"SELECT set, way, round(CASE WHEN set IN (SELECT user_id % 4 FROM events WHERE event_id < 2) THEN counter * pow(0.95, 3) ELSE counter END, 9) AS counter FROM {CACHE}")
+@query("cache_host_insert", ORACLES["cache_device_insert"].replace("512.0", "64.0").replace("priority > counter", "priority >= counter"))
+def _(s, d):
+    cand = dedup.unique_counts(events(s, d)).select("key", F.round(F.col("count") / 64.0, 9).alias("priority"))
+    return setcache.insert(_cache(s, d), cand, 4, ties=True).withColumn("counter", F.round("counter", 6))
+
+
+@query("cache_decay", f"SELECT set, way, round(CASE WHEN set IN (SELECT user_id % 2048 FROM events) THEN counter * pow(0.95, 3) ELSE counter END, 9) AS counter FROM {CACHE}".replace("range(0, 4)", "range(0, 2048)"))
+def _(s, d):
+    touched = events(s, d).select(setcache.set_of(F.col("key"), 2048).alias("set"))
+    return setcache.decay(_cache(s, d, 2048).withColumn("ts", F.lit(0)), touched, 3).select("set", "way", F.round("counter", 9).alias("counter"))
+
+
+@query("cache_invalidate", f"SELECT set, way, CASE WHEN key IN (SELECT user_id * 3 FROM events) THEN NULL ELSE key END AS key FROM {CACHE}")
+def _(s, d):
+    return setcache.invalidate(_cache(s, d), events(s, d, 3)).select("set", "way", "key")
+
+
+@query("cache_resident", f"SELECT key FROM {CACHE} WHERE key IS NOT NULL")
 def _(s, d):
-    touched = events(s, d).filter("pos < 2").select(setcache.set_of(F.col("key"), 4).alias("set"))
-    return setcache.decay(_cache(s, d).withColumn("ts", F.lit(0)), touched, 3).select("set", "way", F.round("counter", 9).alias("counter"))
+    return setcache.resident(_cache(s, d))
 
 
-@query("cache_invalidate", f"SELECT set, way, CASE WHEN key IN (SELECT user_id FROM events WHERE user_id % 2 = 0) THEN NULL ELSE key END AS key FROM {CACHE}")
+@query("cache_misses", f"SELECT count(*) AS requests, count_if(user_id NOT IN (SELECT key FROM {CACHE} WHERE key IS NOT NULL)) AS misses FROM events")
 def _(s, d):
-    return setcache.invalidate(_cache(s, d), events(s, d).filter("key % 2 = 0")).select("set", "way", "key")
+    return setcache.misses(_cache(s, d), events(s, d))
 
 
 # --- partitioners
@@ -501,6 +586,33 @@ def _(s, d):
     return items(s, d).select("key").distinct().select("key", keys.partition_hash(F.col("key"), 64).alias("part"))
 
 
+def _rrx_sql() -> str:
+    turn = lambda n: f"((x >> {n}) | {wrap('x', 1 << (64 - n))})"
+    q = "(SELECT DISTINCT l_partkey AS key, CAST(l_partkey AS UBIGINT) AS x FROM lineitem)"
+    for (a, b), m in zip(((25, 50), (24, 49)), keys.RRX, strict=True):
+        q = f"(SELECT key, {wrap(f'xor(xor(x, {turn(a)}), {turn(b)})', m)} AS x FROM {q})"
+    return f"SELECT key, CAST(xor(x, x >> 28) & 63 AS BIGINT) AS part FROM {q}"
+
+
+@query("partition_rrxmrrxmsx0", _rrx_sql())
+def _(s, d):
+    return items(s, d).select("key").distinct().select("key", keys.partition_hash(F.col("key"), 64, "rrxmrrxmsx0").alias("part"))
+
+
+@query("partition_zero", "SELECT DISTINCT l_partkey AS key, CAST(0 AS BIGINT) AS part FROM lineitem")
+def _(s, d):
+    return items(s, d).select("key").distinct().select("key", keys.partition_zero(F.col("key"), 64).alias("part"))
+
+
+@query("codec_bfloat16", "SELECT b AS bits, CASE WHEN e = 0 THEN m * pow(2.0, -133) ELSE (1 + m / 128.0) * pow(2.0, e - 127) END * CASE WHEN b >= 32768 THEN -1 ELSE 1 END AS value FROM (SELECT b, (b >> 7) & 255 AS e, b & 127 AS m FROM range(0, 65536) r(b)) WHERE e BETWEEN 27 AND 227")
+def _(s, d):
+    """Values that bfloat16 has pass through it unchanged (exponents of 1e-30 to 1e30)."""
+    e, m = F.shiftright("bits", 7).bitwiseAND(255), F.col("bits").bitwiseAND(127)
+    value = (1 + m / 128.0) * F.pow(F.lit(2.0), e - 127) * F.when(F.col("bits") >= 32768, -1.0).otherwise(1.0)
+    held = s.range(65536).select(F.col("id").alias("bits")).filter(e.between(27, 227)).withColumn("value", value)
+    return held.select("bits", vectors.through(F.array("value"), "bfloat16")[0].cast("double").alias("value"))
+
+
 @query("partition_identity", "SELECT DISTINCT l_partkey AS key, l_partkey & 63 AS part FROM lineitem")
 def _(s, d):
     return items(s, d).select("key").distinct().select("key", keys.partition_identity(F.col("key"), 64).alias("part"))

@@ -72,17 +72,20 @@ class MapBackend(TableBackend):
 class ParquetBackend(TableBackend):
     """A directory per namespace and table; each save is a new version, and readers keep theirs.
 
-    Keys are hash-dealt on writing, so a version's files are of like size whatever the table's skew.
+    Keys are hash-dealt on writing, so a version's files are of like size. The manifest is written last: a
+    version without one is a save that failed, which readers pass over and later saves number past.
+    Option ``read_only`` refuses saves.
     """
 
     def _at(self, name: str) -> str:
         return "/".join([self.options["path"].rstrip("/"), self.options.get("namespace", "default"), name])
 
-    def _versions(self, name: str) -> list[int]:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._at(name))
+    def _versions(self, name: str, whole: bool = True) -> list[int]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = path(self._at(name))
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._at(name)}/{n}/data/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and (not whole or fs.exists(path(f"{self._at(name)}/{n}/manifest/_SUCCESS"))))
 
     def load(self, name: str) -> Table:
         versions = self._versions(name)
@@ -95,10 +98,12 @@ class ParquetBackend(TableBackend):
         return Table(self.spark.read.parquet(f"{at}/data"), **meta["table"])
 
     def save(self, name: str, table: Table) -> None:
-        at = f"{self._at(name)}/v{(self._versions(name) or [0])[-1] + 1}"
+        if self.options.get("read_only"):
+            raise NotImplementedError("the store is read-only")
+        at = f"{self._at(name)}/v{max(self._versions(name, whole=False), default=0) + 1}"
         meta = {k: getattr(table, k) for k in ("dim", "invalid_key", "capacity", "partitions", "keep_share", "policy")}
+        table.df.repartition("key").write.parquet(f"{at}/data")
         self.spark.createDataFrame([(json.dumps({"version": MANIFEST_VERSION, "table": meta}),)], "value string").coalesce(1).write.text(f"{at}/manifest")
-        table.df.write.parquet(f"{at}/data")
 
 
 @register("perfect_hash")
@@ -108,11 +113,6 @@ class PerfectHashBackend(MapBackend):
     unsupported = ("erase", "accumulate")
 
 
-#: Names of the usual kinds, as presets: all are key-value maps here.
-for _name in ("flat_map", "parallel_map", "cluster"):
-    _BACKENDS[_name] = MapBackend
-
-
 def export_layers(layers: dict[str, tuple[str, Table]], path: str, spark: SparkSession) -> None:
     """Save layers (name -> (resource, table)); layers of one resource share its weights."""
     store = ParquetBackend(spark, path=path, namespace="resources")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ROWS_PER_PARTITION = 1 << 18
@@ -156,5 +157,22 @@ def register(spark: SparkSession) -> SparkSession:
 
 
 def import_pairs(keys: DataFrame, values: DataFrame) -> DataFrame:
-    """(pos, key, vec) from the row-numbered frames of a key file and a value file of equal length."""
-    return keys.select("row", keys["vec"][0].cast("long").alias("key")).join(values.select("row", "vec"), "row").withColumnRenamed("row", "pos")
+    """(pos, key, vec) from the row-numbered frames of a key file and a value file of equal length.
+
+    A row that only one of them has is an error when the result is read.
+    """
+    both = keys.select("row", keys["vec"][0].cast("long").alias("key"), F.lit(True).alias("__k")).join(values.select("row", "vec", F.lit(True).alias("__v")), "row", "full")
+    unequal = F.raise_error(F.concat(F.lit("the key and value files differ in length at row "), F.col("row").cast("string")))
+    return both.select(F.when(F.col("__k") & F.col("__v"), F.col("row")).otherwise(unequal).alias("pos"), "key", "vec")
+
+
+def from_batches(spark: SparkSession, batches: Iterator[tuple[np.ndarray, np.ndarray]], first: int = 0) -> Iterator[DataFrame]:
+    """(pos, key, vec) frames from an iterator of (keys, rows) arrays, one frame per batch; pos runs on over the batches."""
+    at = first
+    for keys, rows in batches:
+        if rows.ndim != 2 or len(keys) != len(rows):
+            raise ValueError("a batch is as many keys as rows")
+        n, width = rows.shape
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+        yield spark.createDataFrame(pa.table({"pos": np.arange(at, at + n), "key": np.asarray(keys, np.int64), "vec": vec}))
+        at += n

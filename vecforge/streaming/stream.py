@@ -27,7 +27,7 @@ class AutoInsert:
 
     ``table`` is the current version, ``backing`` the table that has the rows. After a batch that the
     heuristic picks, the batch's keys are collected (as a plan) until there are ``min_insert``; then the best
-    ``max_insert`` by frequency that the backing table has are inserted. Batches that were handled already
+    ``max_insert`` by frequency that the backing table has, and the table doesn't, are inserted. Batches that were handled already
     are skipped, so a retried batch inserts once. ``save`` writes a version and returns it reread, which cuts its lineage.
     """
 
@@ -53,7 +53,7 @@ class AutoInsert:
         """Insert what has been collected; modifying verbs call this first."""
         if self.waiting is None:
             return
-        best = self.waiting.join(self.backing.df.select("key", "vec"), "key").orderBy(F.desc("n"), "key").limit(self.max_insert)
+        best = self.waiting.join(self.table.df.select("key"), "key", "left_anti").join(self.backing.df.select("key", "vec"), "key").orderBy(F.desc("n"), "key").limit(self.max_insert)
         new = self.table.insert(best.select(F.col("n").alias("pos"), "key", "vec"), on_existing="keep")
         self.table = self.save(new, batch_id) if self.save else new
         self.waiting, self.held = None, 0
