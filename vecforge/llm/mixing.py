@@ -60,15 +60,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     Only (source, size) is aggregated, with map-side sums; the per-source table joins back on source,
     which adaptive execution broadcasts if it is small in fact and else splits where a source is hot.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies", "__source")]
-    sized = docs.select(*kept, word_count(F.col("text")).alias("size"))
-    plan = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "__source")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "copies", "__source", "__draw")]
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    sized = docs.select(*kept, word_count(F.col("text")).alias("size"), draw.alias("__draw"))  # so no text need pass the join
+    plan = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return (
         sized.join(plan, F.col("source").eqNullSafe(F.col("__source")))
         .drop("__source")
-        .withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int"))
+        .withColumn("copies", (F.floor(rate) + (F.col("__draw") < rate - F.floor(rate)).cast("int")).cast("int"))
+        .drop("__draw")
     )
 
 
