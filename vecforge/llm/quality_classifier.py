@@ -16,6 +16,8 @@ from vecforge.llm.common import Vocabulary, pieces, prepare
 BUCKETS = 1 << 20
 #: The regression is fitted on at most so many labelled documents, those with the smallest hashed ids.
 MAX_LABELLED = 12_000
+#: Entries of the fitted sample that are worked on at once.
+RUN = 1 << 20
 #: Grades run from 0 to GRADES - 1.
 GRADES = 3
 #: A document is kept if it has at least grade KEEP_GRADE with this probability.
@@ -84,26 +86,36 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES,
     model = Ordinal(np.zeros(buckets), thresholds)
     if not n or len(set(grades.tolist())) < 2:
         return model
-    flat, row = np.concatenate(features), np.repeat(np.arange(n), [len(f) for f in features])
-    names, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    at, row = np.concatenate(features).astype(np.int32, copy=False), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
+    times = sum(np.bincount(at[c], minlength=buckets) for c in _runs(at))
+    names = np.flatnonzero(times)
+    seen, place = times[names], np.zeros(buckets, np.int32)
+    place[names] = np.arange(len(names))
+    at = np.concatenate([place[at[c]] for c in _runs(at)])
     y = grades.astype(np.int64)
     left = seen > 1
     for penalty, shrink in ((noise * np.sqrt(seen) / n, 0.0), (np.zeros(len(names)), decay)):
-        use = left[at]
-        w, thresholds = _climb(at[use], row[use], y, model.thresholds, len(names), rounds, rate, penalty, shrink)
+        use = np.concatenate([left[at[c]] for c in _runs(at)])
+        at, row = at[use], row[use]
+        w, thresholds = _climb(at, row, y, model.thresholds, len(names), rounds, rate, penalty, shrink)
         left = w != 0
     model.weights[names] = w
     model.thresholds = thresholds
     return model
 
 
+def _runs(values: np.ndarray) -> list[slice]:
+    """Slices of RUN entries: what is computed from narrow numbers is widened a slice at a time."""
+    return [slice(i, i + RUN) for i in range(0, max(len(values), 1), RUN)]
+
+
 def _climb(at: np.ndarray, row: np.ndarray, y: np.ndarray, start: np.ndarray, size: int, rounds: int, rate: float, penalty: np.ndarray, shrink: float) -> tuple[np.ndarray, np.ndarray]:
     n, last = len(y), len(start) - 1
     w, base, gaps = np.zeros(size), float(start[0]), np.log(np.maximum(np.diff(start), 1e-3))
     sums = [np.full(size, 1e-8), 1e-8, np.full(last, 1e-8)]
     for _ in range(rounds):
         th = np.concatenate([[base], base + np.cumsum(np.exp(gaps))])
-        z = np.bincount(row, w[at], n)
+        z = sum(np.bincount(row[c], w[at[c]], n) for c in _runs(at))
         below = 1 / (1 + np.exp(np.clip(z[:, None] - th[None, :], -50, 50)))  # P(grade <= k)
         cdf = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
         dense = np.concatenate([np.zeros((n, 1)), below * (1 - below), np.zeros((n, 1))], 1)
@@ -111,7 +123,8 @@ def _climb(at: np.ndarray, row: np.ndarray, y: np.ndarray, start: np.ndarray, si
         p = np.maximum(pick(cdf, y + 1) - pick(cdf, y), 1e-12)
         hi, lo = pick(dense, y + 1) / p, pick(dense, y) / p
         g_th = np.array([(hi * (y == k)).sum() - (lo * (y == k + 1)).sum() for k in range(last + 1)]) / n
-        g_w = np.bincount(at, (lo - hi)[row], size) / n - shrink * w
+        pull = lo - hi
+        g_w = sum(np.bincount(at[c], pull[row[c]], size) for c in _runs(at)) / n - shrink * w
         g_base, g_gaps = g_th.sum(), np.array([g_th[k + 1 :].sum() for k in range(last)]) * np.exp(gaps)
         sums = [s + g * g for s, g in zip(sums, (g_w, g_base, g_gaps), strict=True)]
         step = rate / np.sqrt(sums[0])
@@ -144,9 +157,10 @@ def train(docs: DataFrame, graded: DataFrame, spark: SparkSession, max_labelled:
     one = rated.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = one.mapInArrow(_hash_rows, "doc_id long, grade int, features array<int>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    lists = rows.column("features").combine_chunks()
+    rated_as, lists = rows.column("grade").to_numpy()[order], rows.column("features").combine_chunks()
+    del rows
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([values[offsets[i] : offsets[i + 1]].astype(np.int64) for i in order], rows.column("grade").to_numpy()[order])
+    return fit([values[offsets[i] : offsets[i + 1]] for i in order], rated_as)
 
 
 def _score(model: Ordinal):
