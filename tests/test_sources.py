@@ -49,6 +49,38 @@ def test_a_failed_save_is_passed_over(spark, tmp_path):
         backends.create("parquet", spark, path=str(tmp_path), read_only=True).save("t", table)
 
 
+def test_partitioned_store(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS key", "array(CAST(id AS DOUBLE), 2.0D) AS vec")
+    table = Table.of(rows, "key", "vec", 2)
+    store = backends.create("partitioned", spark, path=str(tmp_path), namespace="one", partitions=4)
+    store.save("t", table)
+    assert {p.name for p in (tmp_path / "one" / "t" / "v1" / "data").glob("part=*")} == {f"part={i}" for i in range(4)}
+    part = keys.fnv1a(np.arange(100, dtype=np.uint64)) & np.uint64(3)
+    assert {r["part"]: r["size"] for r in store.sizes("t").collect()} == dict(enumerate(np.bincount(part.astype(int)).tolist()))
+    requests = spark.createDataFrame([(0, 7), (1, 200), (2, 7), (3, None), (4, -1)], "pos long, key long")
+    other = backends.create("partitioned", spark, path=str(tmp_path), namespace="one", partitions=16)  # the manifest's count holds
+    got = {r["pos"]: (r["vec"], r["hit"]) for r in other.find("t", requests).collect()}
+    assert got == {0: ([7.0, 2.0], True), 1: (None, False), 2: ([7.0, 2.0], True), 3: (None, False), 4: (None, False)}
+    other.save("t", store.load("t").erase(rows.filter("key < 90")))
+    assert store.load("t").size() == 10 and {r["key"] for r in store.find("t", rows.select("key")).filter("hit").collect()} == set(range(90, 100))
+    store.save("t", table.clear())
+    assert store.load("t").df.columns == ["key", "vec", "meta"]
+    assert store.load("t").size() == 0 and store.find("t", requests).filter("hit").count() == 0
+    with pytest.raises(ValueError):
+        backends.create("partitioned", spark, path=str(tmp_path), namespace="two").load("t")
+
+
+def test_backends_state_their_version(spark):
+    @backends.register("own", api=(1, 0))
+    class Own(backends.MapBackend):
+        pass
+
+    assert isinstance(backends.create("own", spark), Own)
+    for api in ((2, 0), (1, 1)):
+        with pytest.raises(ValueError):
+            backends.register("newer", api=api)
+
+
 def test_layers_are_exported_and_loaded(spark, tmp_path):
     table = Table.of(spark.range(5).selectExpr("id AS key", "array(1.0D, 2.0D) AS vec"), "key", "vec", 2)
     backends.export_layers({"a": ("one", table), "b": ("one", table), "c": ("two", table.erase(spark.range(3).selectExpr("id AS key")))}, str(tmp_path), spark)

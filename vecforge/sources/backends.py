@@ -5,12 +5,18 @@ from __future__ import annotations
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vecforge.functions import keys
 from vecforge.operators.table import Table
 
 MANIFEST_VERSION = 2
+#: Version (major, minor) of what a backend has to offer.
+API_VERSION = (1, 0)
 
 
 class TableBackend(ABC):
@@ -37,7 +43,11 @@ class TableBackend(ABC):
 _BACKENDS: dict[str, Callable[..., TableBackend]] = {}
 
 
-def register(name: str):
+def register(name: str, api: tuple[int, int] = API_VERSION):
+    """Class decorator. ``api`` is the version a backend was written for: the same major, no newer minor."""
+    if api[0] != API_VERSION[0] or api[1] > API_VERSION[1]:
+        raise ValueError(f"backend {name!r} is for version {api}, this is {API_VERSION}")
+
     def keep(cls):
         _BACKENDS[name] = cls
         return cls
@@ -95,15 +105,65 @@ class ParquetBackend(TableBackend):
         meta = json.loads(self.spark.read.text(f"{at}/manifest").first()[0])
         if meta["version"] > MANIFEST_VERSION:
             raise ValueError(f"manifest version {meta['version']} is newer than {MANIFEST_VERSION}")
-        return Table(self.spark.read.parquet(f"{at}/data"), **meta["table"])
+        return Table(self._read(f"{at}/data", meta), **meta["table"])
+
+    def _read(self, at: str, meta: dict) -> DataFrame:
+        return self.spark.read.parquet(at)
+
+    def _write(self, df: DataFrame, at: str) -> None:
+        df.repartition("key").write.parquet(at)
+
+    def _layout(self) -> dict:
+        """What a version's manifest says beside the table's own settings."""
+        return {}
 
     def save(self, name: str, table: Table) -> None:
         if self.options.get("read_only"):
             raise NotImplementedError("the store is read-only")
         at = f"{self._at(name)}/v{max(self._versions(name, whole=False), default=0) + 1}"
         meta = {k: getattr(table, k) for k in ("dim", "invalid_key", "capacity", "partitions", "keep_share", "policy")}
-        table.df.repartition("key").write.parquet(f"{at}/data")
-        self.spark.createDataFrame([(json.dumps({"version": MANIFEST_VERSION, "table": meta}),)], "value string").coalesce(1).write.text(f"{at}/manifest")
+        self._write(table.df.select("key", "vec", "meta"), f"{at}/data")
+        self.spark.createDataFrame([(json.dumps({"version": MANIFEST_VERSION, "table": meta, "schema": table.df.select("key", "vec", "meta").schema.jsonValue()} | self._layout()),)], "value string").coalesce(1).write.text(f"{at}/manifest")
+
+
+@register("partitioned")
+class PartitionedBackend(ParquetBackend):
+    """A store dealt over key partitions, with a folder for each one in every version.
+
+    Options: ``partitions`` (a power of two, 8 unless given) and ``hash`` (of ``keys.HASHES``). A version's
+    manifest keeps both, so another setting re-deals the keys of later saves and misplaces none of earlier
+    ones. Large partitions are split over several tasks and files on writing. Null keys are not stored.
+    """
+
+    def _layout(self) -> dict:
+        return {"layout": {"partitions": self.options.get("partitions", 8), "hash": self.options.get("hash", "fowler_noll_vo")}}
+
+    def _write(self, df: DataFrame, at: str) -> None:
+        df.filter("key IS NOT NULL").withColumn("part", part_of(F.col("key"), self._layout())).hint("rebalance", F.col("part")).write.partitionBy("part").parquet(at)
+
+    def _read(self, at: str, meta: dict) -> DataFrame:
+        self.layout = meta
+        return self.spark.read.schema(T.StructType.fromJson(meta["schema"]).add("part", "long")).parquet(at)
+
+    def load(self, name: str) -> Table:
+        table = super().load(name)
+        return replace(table, df=table.df.drop("part"))
+
+    def find(self, name: str, requests: DataFrame) -> DataFrame:
+        """Like ``Table.find``, by partition and key: folders of partitions that no request needs can be pruned."""
+        table = super().load(name)
+        side = table.df.select("part", F.col("key").alias("__key"), "vec")
+        asked = requests.withColumn("__part", part_of(F.col("key"), self.layout))
+        met = (F.col("__part") == F.col("part")) & (F.col("key") == F.col("__key")) & (F.col("key") != table.invalid_key)
+        return asked.join(side, met, "left").withColumn("hit", F.col("__key").isNotNull()).drop("__key", "__part", "part")
+
+    def sizes(self, name: str) -> DataFrame:
+        """(part, size) of the partitions that have rows; reads no column but the folders' names."""
+        return super().load(name).df.groupBy("part").agg(F.count("*").alias("size"))
+
+
+def part_of(key: Column, meta: dict) -> Column:
+    return keys.partition_hash(key, meta["layout"]["partitions"], meta["layout"]["hash"])
 
 
 @register("perfect_hash")
@@ -136,7 +196,5 @@ def load_layers(path: str, spark: SparkSession) -> dict[str, Table]:
 
 def scan(df: DataFrame, dim: int) -> DataFrame:
     """Rows that break a table's geometry: vectors of another length, null or repeated keys."""
-    from pyspark.sql import functions as F
-
     bad = df.filter(F.col("key").isNull() | F.col("vec").isNull() | (F.size("vec") != dim)).select("key", F.lit("row").alias("problem"))
     return bad.unionByName(df.groupBy("key").count().filter("count > 1").select("key", F.lit("repeated").alias("problem")))
