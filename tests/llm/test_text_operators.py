@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vecforge.llm import common, mixing, packing, quality_rules, substring_dedup
+from vecforge.llm import common, mixing, packing, quality_rules, queries, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, kept string, size string"
@@ -340,6 +340,67 @@ def test_substring_dedup_finds_passages_inside_lines(spark):
         assert got[i]["text"] == left + t[at:]
 
 
+def test_the_query_finds_every_shared_passage_and_no_other_document(spark, tmp_path):
+    rng = random.Random(11)
+    prose = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99999)) + rng.choice(["", "", "", ",", ".", "\n"]) for _ in range(n)]
+    passage = [prose(50) for _ in range(60)]
+    over = [["was"] * 70, ["is", "and", "is", "not"] * 20, ["x|", "...", "y"] * 40]
+    texts = [" ".join([*prose(rng.randint(0, 40)), *p, *prose(rng.randint(0, 40))]) for p in passage + over]
+    later = [" ".join([*prose(rng.randint(0, 40)), *p, *prose(rng.randint(0, 40))]).upper() for p in passage + [x + x[: rng.randint(1, 50)] for x in over]]
+    inner = [" ".join([*p, *prose(5), *p, *prose(60), *p]) for p in (prose(60) for _ in range(20))]  # repeat themselves only
+    alone = ["so so " * 99, *(" ".join([*prose(40), *rng.choice(passage)[10:17], *prose(40)]) for _ in range(20))]
+    copies = [inner[0], inner[1].lower() + "\nand more"]
+    rows = list(enumerate([*texts, *later, *inner, *alone, *copies, None, ""]))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    plain = lambda t: [w for w in (x.strip(",.|").lower() for x in t.split()) if w]
+    seen = {n: set() for n in (8, 50)}  # windows of earlier documents
+    for i, t in rows:
+        w = {n: {tuple(plain(t or "")[j : j + n]) for j in range(len(plain(t or "")) - n + 1)} for n in seen}
+        if w[50] & seen[50]:
+            assert got[i]["n_removed"] > 0, i
+        if not w[8] & seen[8]:
+            assert got[i]["n_removed"] == 0, i
+        spans = [tuple(map(int, x.split(":"))) for x in got[i]["removed"].split(",") if x]
+        assert got[i]["n_removed"] == len(spans) and got[i]["removed_chars"] == sum(b - a for a, b in spans)
+        left, at = "", 0
+        for a, b in spans:
+            gone = plain(t[a:b])
+            assert at <= a < b and len(gone) >= substring_dedup.MIN_RUN and tuple(gone[:8]) in seen[8]
+            left, at = left + t[at:a], b
+        assert got[i]["text"] == (None if t is None else left + t[at:])
+        for n in seen:
+            seen[n] |= w[n]
+    assert sum(r["n_removed"] > 0 for r in got.values()) == len(later) + len(copies)
+    assert got[len(rows) - 4]["text"] == ""  # a copy goes whole, what it repeats inside too
+
+
+def test_windows_follow_the_plain_rule():
+    rng = random.Random(12)
+    words = lambda n, kinds: " ".join(rng.choices([f"w{i}" for i in range(kinds)], k=n))
+    texts = ["", "a b", words(24, 99), words(49, 99), words(50, 99), words(400, 999), words(300, 2), "z " * 300, "p q r " * 90, *(words(rng.randint(0, 120), 50) for _ in range(30))]
+    known = substring_dedup.Known()
+    u = substring_dedup.windows_of(substring_dedup.read_words([t.encode() for t in texts], known), 24, 50)
+    found = [[] for _ in texts]
+    for row, a, b, x in zip(u.row, u.start, u.end, u.digest[0], strict=True):
+        assert len(texts[row][a:b].split()) == 24
+        found[row].append((len(texts[row][:a].split()), tuple(texts[row][a:b].split()), int(x)))
+    kinds = {}
+    for t, have in zip(texts, found, strict=True):
+        n = len(t.split())
+        assert bool(have) == (n >= 24)
+        at = {j for j, _, _ in have}
+        for j in range(max(0, n - 49)):  # of any 50 words, a window or one that equals it is there
+            inside = {tuple(t.split()[k : k + 24]) for k in range(j, j + 27)}
+            assert inside & {w for _, w, _ in have}
+        for _, w, x in have:
+            assert kinds.setdefault(w, x) == x
+        assert len(at) == len(have) < max(3, n / 4) and (not have or {0, n - 24} <= at)
+    assert len(set(kinds.values())) == len(kinds)
+    assert all(0 < b[0] - a[0] <= 24 for a, b in zip(found[7][:-1], found[7][1:-1])) and len(found[7]) < 30  # one word over and over: thinned, still covered
+
+
 def test_equal_lines_go_whole():
     rng = random.Random(7)
     line = " ".join(rng.choices([f"w{i}" for i in range(99)], k=200)) + " ...  - end"
